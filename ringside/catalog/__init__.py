@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["records"]
+TOPICS = ["records", "turns"]
 
 
 def load():

@@ -25,8 +25,9 @@ def with_view(sql):
     body = sql.strip().replace("{ev}", "ev")
     if not re.search(r"\b(FROM|JOIN) ev\b", body):
         return body
-    joint = ", " + body[5:] if body[:5].upper() == "WITH " else " " + body
-    return "WITH " + oracle_view("ev") + joint
+    word = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    joint = ", " + body[len(word):] if body.startswith(word) else " " + body
+    return word + oracle_view("ev") + joint
 
 
 def on_matches(name, oracle=None, raw=False):
