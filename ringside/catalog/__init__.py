@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["records", "turns"]
+TOPICS = ["records", "turns", "strategy"]
 
 
 def load():

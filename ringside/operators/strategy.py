@@ -155,7 +155,10 @@ def momentum_timeline(t, slots, boards) -> DataFrame:
 def turn_reasons():
     """Plain-language causes of a turn's change: losses first, then conditions newly on."""
     prev = lambda name: F.col(f"_prev.{name}")
-    parts = [F.transform(F.col(f"{s}_lost"), lambda x, s=s: F.concat(F.lit(f"{LABEL[s]} lost "), x)) for s in SIDES]
+    def losses(side):
+        return F.transform(f"{side}_lost", lambda x: F.concat(F.lit(f"{LABEL[side]} lost "), x))
+
+    parts = [losses(side) for side in SIDES]
     changed = lambda name: F.col(name).isNotNull() & ~F.col(name).eqNullSafe(prev(name))
     wind = F.col("tailwind").isin(*SIDES) & changed("tailwind")
     on = lambda name: changed(name) & ~F.col(name).isin("none", "")
