@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["records", "turns", "strategy"]
+TOPICS = ["records", "turns", "strategy", "scalars", "careers"]
 
 
 def load():
