@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["records", "turns", "strategy", "scalars", "careers"]
+TOPICS = ["records", "turns", "strategy", "scalars", "careers", "cleaning"]
 
 
 def load():
