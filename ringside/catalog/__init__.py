@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["records", "turns", "strategy", "scalars", "careers", "cleaning", "series", "matchups"]
+TOPICS = ["records", "turns", "strategy", "scalars", "careers", "cleaning", "series", "matchups", "replays"]
 
 
 def load():

@@ -136,7 +136,7 @@ def calc_stats(spark, sf_dir):
 
 _TY = lambda e: f"split_part('{','.join(fixed.TYPES)}', ',', cast(({e}) % 18 + 1 as int))"
 _DMG = {
-    "pw": "cast(l_quantity * 3 as int) - 5", "ak": "cast(l_extendedprice / 500 as int) % 180 + 20", "df": "l_partkey % 150 + 30",
+    "pw": "cast(floor(l_quantity * 3) as int) - 5", "ak": "cast(floor(l_extendedprice / 500) as int) % 180 + 20", "df": "l_partkey % 150 + 30",
     "hp": "l_suppkey % 200 + 90", "phys": "l_linenumber % 2 = 0", "ty": _TY("l_orderkey"), "own": _TY("l_orderkey + l_linenumber % 3"),
     "d1": _TY("l_partkey"), "d2": _TY("l_suppkey"), "wx": "split_part('sun,rain,sand,snow,none', ',', cast(l_orderkey % 5 + 1 as int))",
     "it": "split_part('Life Orb,Choice Band,Choice Specs,Expert Belt,none', ',', cast(l_linenumber % 5 + 1 as int))",
