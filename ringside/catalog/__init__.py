@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["records", "turns", "strategy", "scalars", "careers", "cleaning", "series", "matchups", "replays"]
+TOPICS = ["records", "turns", "strategy", "scalars", "careers", "cleaning", "series", "matchups", "replays", "reviews", "knowledge"]
 
 
 def load():
