@@ -90,9 +90,9 @@ def skill_trend(matches: DataFrame, session_rows: DataFrame) -> DataFrame:
     played = with_session(matches, session_rows)
     games = r.decided(played)
     on = [*USER, "session"]
-    sums = games.groupBy(*on).agg(*[v.alias(k) for k, v in r.SKILL_SUMS.items()])
+    sums = games.groupBy(*on).agg(*[v.alias(k) for k, v in r.skill_sums().items()])
     base = session_rows.select(*on).join(sums, on, "left").fillna(0)
-    total = scan(base, USER, "session", {k: sum_of(F.col(k)) for k in r.SKILL_SUMS})
+    total = scan(base, USER, "session", {k: sum_of(F.col(k)) for k in r.skill_sums()})
     for choice, out in ((r.lead_choice(), "lead_entropy"), (r.bring_choice(), "bring_entropy")):
         total = total.join(_running_entropy(games, base, choice, out), on, "left")
     cumulative = total.where("n > 0").select(*on, *r.score_columns())

@@ -328,19 +328,21 @@ def entropy_of(n, log_sum, k):
     return F.when((n <= 1) | (k <= 1), 0.0).otherwise(c.clamp(spread * 100, 0.0, 100.0))
 
 
-SKILL_SUMS = {
-    "n": F.count(F.lit(1)),
-    "ko_diff": F.sum(F.col("o_faints") - F.col("p_faints")),
-    "first_kos": F.count_if(F.col("first_ko") == "player"),
-    "o_total": F.sum("o_faints"),
-    "p_total": F.sum("p_faints"),
-    "losses": F.count_if(F.col("winner") == "opponent"),
-    "throws": F.count_if((F.col("winner") == "opponent") & F.col("was_ahead")),
-    "ahead": F.count_if("was_ahead"),
-    "converted": F.count_if(F.col("was_ahead") & F.col("won")),
-    "wins": F.count_if("won"),
-    "margin_sum": F.sum(F.when(F.col("won"), F.col("margin_read") / F.col("brought_n")).otherwise(0.0)),
-}
+def skill_sums():
+    """Additive parts of the skill scores."""
+    return {
+        "n": F.count(F.lit(1)),
+        "ko_diff": F.sum(F.col("o_faints") - F.col("p_faints")),
+        "first_kos": F.count_if(F.col("first_ko") == "player"),
+        "o_total": F.sum("o_faints"),
+        "p_total": F.sum("p_faints"),
+        "losses": F.count_if(F.col("winner") == "opponent"),
+        "throws": F.count_if((F.col("winner") == "opponent") & F.col("was_ahead")),
+        "ahead": F.count_if("was_ahead"),
+        "converted": F.count_if(F.col("was_ahead") & F.col("won")),
+        "wins": F.count_if("won"),
+        "margin_sum": F.sum(F.when(F.col("won"), F.col("margin_read") / F.col("brought_n")).otherwise(0.0)),
+    }
 
 
 def lead_choice():
@@ -353,7 +355,7 @@ def bring_choice():
 
 
 def score_columns():
-    """The four scores and their mean from the sums of SKILL_SUMS and two entropies."""
+    """The four scores and their mean from skill_sums and two entropies."""
     n = F.col("n")
     over = lambda a, b, default: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(default))
     tempo = c.clamp(0.5 * c.scale(F.col("ko_diff") / n, -2, 2) + 0.5 * (F.col("first_kos") / n) * 100)
@@ -373,7 +375,7 @@ def score_columns():
 def skill_scores(matches: DataFrame, by) -> DataFrame:
     """Tempo, adaptability, execution and closing per group; groups without decided matches give no row."""
     games = decided(matches)
-    sums = games.groupBy(*by).agg(*[v.alias(k) for k, v in SKILL_SUMS.items()])
+    sums = games.groupBy(*by).agg(*[v.alias(k) for k, v in skill_sums().items()])
     for choice, out in ((lead_choice(), "lead_entropy"), (bring_choice(), "bring_entropy")):
         options = games.select(*by, choice.alias("_o")).where(F.col("_o").isNotNull())
         sums = sums.join(entropy(options, by, "_o", out), by, "left")
