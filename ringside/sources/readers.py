@@ -87,7 +87,7 @@ def read_replays(spark: SparkSession, path, player="p1") -> DataFrame:
 def read_texts(spark: SparkSession, path, encoding="UTF-8") -> DataFrame:
     """(source, text) of whole text files in any encoding; a leading byte order mark is dropped."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit(encoding))
+    text = F.decode("content", encoding)
     return files.select(F.col("path").alias("source"), F.regexp_replace(text, "^\\uFEFF", "").alias("text"))
 
 

@@ -28,45 +28,60 @@ STATE_SCHEMA = "user_id string, job_id string, match int, ko_diff bigint, turn i
 
 
 class MatchState(StatefulProcessor):
-    """Running knockout difference and turn of a live match; gone after its end or its time to live."""
+    """Running knockout difference and turn of a live match; closed by its end or by silence."""
 
-    def __init__(self, ttl_ms=3600000):
-        self.ttl_ms = ttl_ms
+    def __init__(self, silence_ms=3600000):
+        self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle):
         self.handle = handle
-        self.state = handle.getValueState("state", "ko_diff bigint, turn int, events bigint", self.ttl_ms)
+        self.state = handle.getValueState("state", "ko_diff bigint, turn int, events bigint")
+
+    def _forget(self):
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.clear()
+
+    @staticmethod
+    def _row(key, ko_diff, turn, seen, closed, winner):
+        row = pd.DataFrame([(*key, ko_diff, turn, seen, closed, winner)], columns=[
+            "user_id", "job_id", "match", "ko_diff", "turn", "events", "closed", "winner"])
+        return row.astype({"turn": "Int32"})
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else (0, None, 0)
-        ko_diff, turn, seen = held[0], held[1], held[2]
-        winner = None
+        ko_diff, turn, seen = self.state.get() if self.state.exists() else (0, None, 0)
+        winner, latest = None, 0
         for pdf in rows:
-            faints = pdf[pdf["event"] == "pokemon_fainted"]["actor"]
-            ko_diff += int((faints == "opponent").sum()) - int((faints != "opponent").sum())
-            turns = pdf["turn"].dropna()
-            if len(turns):
-                turn = int(turns.max()) if turn is None else max(turn, int(turns.max()))
+            scored = pdf[pdf["event"] == "pokemon_fainted"]["actor"]
+            ko_diff += int((scored == "opponent").sum()) - int((scored != "opponent").sum())
+            read = pdf["turn"].dropna()
+            if len(read):
+                turn = max(int(read.max()), turn or 0)
             ends = pdf[pdf["event"] == "battle_end"]["winner"]
             if len(ends):
                 winner = ends.iloc[0] or "unknown"
             seen += len(pdf)
+            latest = max(latest, int(pdf["event_ms"].max()))
+        self._forget()
         if winner is None:
             self.state.update((ko_diff, turn, seen))
-        else:
-            self.state.clear()
-        yield pd.DataFrame([(*key, ko_diff, turn, seen, winner is not None, winner)], columns=[
-            "user_id", "job_id", "match", "ko_diff", "turn", "events", "closed", "winner"]).astype({"turn": "Int32"})
+            self.handle.registerTimer(latest + self.silence_ms)
+        yield self._row(key, ko_diff, turn, seen, winner is not None, winner)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ko_diff, turn, seen = self.state.get()
+        self.state.clear()
+        yield self._row(key, ko_diff, turn, seen, True, None)
 
     def close(self):
         pass
 
 
-def stream_match_state(events: DataFrame, time="event_time", delay="10 minutes", ttl_ms=3600000) -> DataFrame:
+def stream_match_state(events: DataFrame, time="event_time", delay="10 minutes", silence_ms=3600000) -> DataFrame:
     """Updates of running match state; rows later than the watermark are dropped."""
-    slim = events.select(*KEY, "event", "actor", "turn", "winner", time).withWatermark(time, delay)
+    slim = events.select(*KEY, "event", "actor", "turn", "winner", time, F.unix_millis(time).alias("event_ms")).withWatermark(time, delay)
     return slim.groupBy(*KEY).transformWithStateInPandas(
-        MatchState(ttl_ms), outputStructType=STATE_SCHEMA, outputMode="Update", timeMode="ProcessingTime")
+        MatchState(silence_ms), outputStructType=STATE_SCHEMA, outputMode="Update", timeMode="EventTime")
 
 
 def audit_window_counts(audit: DataFrame, time="created_at", size="1 day", slide=None, delay=None) -> DataFrame:

@@ -90,11 +90,18 @@ def test_stream_match_state(spark, tmp_path):
         ("pokemon_fainted", "opponent", None, None), ("field_state", "both", 3, None)]]
     rows = [(*r, None) for r in base]
     stream = _stream(spark, tmp_path, rows, schema, "live").withColumn("event_time", F.to_timestamp(F.lit(when(5))))
-    q = _memory(live.stream_match_state(stream), "match_state", "update")
+    out = str(tmp_path / "states")
+
+    def drain():
+        q = (live.stream_match_state(stream).writeStream.outputMode("update").trigger(availableNow=True)
+             .option("checkpointLocation", str(tmp_path / "state_log"))
+             .foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).start())
+        assert q.awaitTermination(40)
+
+    drain()
     spark.createDataFrame([("u", "j", 1, "battle_end", "player", None, "player", None)], schema).write.mode("append").parquet(str(tmp_path / "live"))
-    q.processAllAvailable()
-    got = spark.sql("select ko_diff, turn, events, closed, winner from match_state order by events").collect()
-    q.stop()
+    drain()
+    got = spark.read.parquet(out).select("ko_diff", "turn", "events", "closed", "winner").orderBy("events").collect()
     assert [tuple(r) for r in got] == [(1, 3, 5, False, None), (1, 3, 6, True, "player")]
 
 
