@@ -316,12 +316,13 @@ def damage_matrix(scenarios: DataFrame, attacker="attacker", defender="defender"
         .when((item == "Expert Belt") & (F.col("_mult") > 1.0), 1.2).otherwise(1.0))
     modifier = spread * sky * crit * F.col("_stab") * F.col("_mult") * F.when(burned, 0.5).otherwise(1.0) * held
     rows = rows.withColumn("_mod", modifier)
-    rolls = F.transform(F.sequence(F.lit(85), F.lit(100)), lambda p: F.greatest(
-        F.lit(1).cast("bigint"), whole(F.col("_base") * F.col("_mod") * (p / 100))))
+    # Sixteen spelled-out rolls stay inside generated code; a lambda would not.
+    rolls = F.array(*[F.greatest(
+        F.lit(1).cast("bigint"), whole(F.col("_base") * F.col("_mod") * (p / 100))) for p in range(85, 101)])
     none = F.array_repeat(F.lit(0).cast("bigint"), 16)
     rows = rows.withColumn("_rolls", F.when((F.coalesce(m("power"), F.lit(0)) <= 0) | (F.col("_mult") == 0), none).otherwise(rolls))
     least, most = F.array_min("_rolls"), F.array_max("_rolls")
-    mean = F.bround(_total(F.transform("_rolls", lambda x: x.cast("double"))) / 16, 2)
+    mean = F.bround(sum(F.get("_rolls", F.lit(i)) for i in range(16)) / 16, 2)
     share = lambda x: F.when((d("hp") > 0) & (m("power") > 0), F.bround(x / d("hp") * 100, 1)).otherwise(0.0)
     return rows.withColumn("damage", F.struct(
         F.col("_rolls").alias("rolls"), least.alias("min"), most.alias("max"), mean.alias("avg"),
