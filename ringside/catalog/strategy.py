@@ -219,7 +219,9 @@ p AS (SELECT u AS user_id, count(*) AS turns_analyzed, cast(round_even(avg(pos),
 f AS (SELECT u AS user_id, cast(round_even(avg(x), 1) AS DOUBLE) AS final_turn_average, count(*) AS matches_with_turns FROM (SELECT u, job_id, match, arg_max(pos, tn) x FROM tl GROUP BY ALL) GROUP BY u),
 m AS (SELECT u AS user_id, count(*) FILTER (WHERE ty = 'blind_switch_koed') AS blind_switches, count(*) FILTER (WHERE ty = 'big_momentum_swing') AS big_swings FROM mk GROUP BY u),
 l AS (SELECT u AS user_id, count(*) AS losses_analyzed, cast(round_even(avg(dt), 1) AS DOUBLE) AS average_decisive_turn FROM loss WHERE loser = 'player' GROUP BY u)
-SELECT * FROM p LEFT JOIN f USING (user_id) LEFT JOIN m USING (user_id) LEFT JOIN l USING (user_id)""")
+SELECT p.*, final_turn_average, matches_with_turns, coalesce(blind_switches, 0) AS blind_switches, coalesce(big_swings, 0) AS big_swings,
+  coalesce(losses_analyzed, 0) AS losses_analyzed, average_decisive_turn
+FROM p LEFT JOIN f USING (user_id) LEFT JOIN m USING (user_id) LEFT JOIN l USING (user_id)""")
 def battle_profile(ev):
     return s.battle_profile(s.strategy_of(ev), ev, ["user_id"]).select(
         "user_id", "turns_analyzed", "average_position", "worst_position", "best_position", "band_even_pct",

@@ -26,17 +26,23 @@ CATEGORIES = ["fake_out", "redirection", "spread"]
 @dataclass(frozen=True)
 class Strategy:
     turns: turns.Turns
+    windows: turns.Turns
     slots: DataFrame
     boards: DataFrame
     timeline: DataFrame
 
 
-def strategy_of(events: DataFrame, order="event_idx") -> Strategy:
-    """Turn tables and the timeline, each written once for all reports over them."""
+def strategy_of(events: DataFrame, order="event_idx", window_order=None) -> Strategy:
+    """Turn tables and the timeline, each written once for all reports over them.
+
+    Decision windows follow time, the other readings follow arrival. Where the
+    two differ, `window_order` names the time order (`in_time_order`).
+    """
     t = turns.turns_of(events, order)
-    slots = materialise(turns.roster_slots(t))
-    boards = materialise(turns.board(t))
-    return Strategy(t, slots, boards, materialise(momentum_timeline(t, slots, boards)))
+    w = t if window_order in (None, order) else turns.turns_of(events, window_order)
+    slots = materialise(turns.roster_slots(w))
+    boards = materialise(turns.board(w))
+    return Strategy(t, w, slots, boards, materialise(momentum_timeline(t, w, slots, boards)))
 
 
 def move_category(name):
@@ -71,26 +77,26 @@ def _clamped(value, limit):
     return c.clamp(F.rint(value), float(-limit), float(limit)).cast("int")
 
 
-def momentum_timeline(t, slots, boards) -> DataFrame:
+def momentum_timeline(t, w, slots, boards) -> DataFrame:
     """Every score of every turn, one row per turn."""
     on = [*KEY, "turn"]
     roster = slots.groupBy(*KEY).agg(*[F.count_if(F.col("side") == s).alias(f"{s}_roster") for s in SIDES])
     down = slots.where(F.col("faint_turn").isNotNull()).select(*KEY, "side", F.col("faint_turn").alias("turn"))
-    rows = turns.running_sides(t, down, "down").join(roster, KEY, "left").fillna(0)
-    rows = rows.join(turns.running_sides(t, turns.speed_tools(t), "tools"), on)
-    hp = turns.hp_at_start(t, slots).groupBy(*on).agg(*[
+    rows = turns.running_sides(w, down, "down").join(roster, KEY, "left").fillna(0)
+    rows = rows.join(turns.running_sides(w, turns.speed_tools(t), "tools"), on)
+    hp = turns.hp_at_start(t, slots, w).groupBy(*on).agg(*[
         F.avg(F.when(F.col("side") == s, F.col("known_hp"))).alias(f"{s}_hp") for s in SIDES])
     rows = rows.join(hp, on, "left").join(turns.turn_conditions(t), on, "left")
     setters = turns.trick_room_setters(t).groupBy(*KEY).agg(*[
         F.bool_or(F.col("side") == s).alias(f"{s}_set_room") for s in SIDES])
-    rows = rows.join(setters, KEY, "left").join(board_categories(t, boards), on, "left")
+    rows = rows.join(setters, KEY, "left").join(board_categories(w, boards), on, "left")
     faints = turns.turn_faints(t).groupBy(*on).agg(*[F.count_if(F.col("side") == s).alias(f"{s}_faints") for s in SIDES])
     rows = rows.join(faints, on, "left")
     boosts = turns.stat_changes(t).where(
         (F.col("direction") > 0) & F.col("stat").isin(fixed.OFFENSIVE_STATS)).groupBy(*on).agg(
         F.count(F.lit(1)).alias("boosts"))
     rows = rows.join(boosts, on, "left")
-    lost = lost_species(t, slots)
+    lost = lost_species(w, slots)
     # One turn and side per group, out of one roster.
     lost = lost.groupBy(*on).agg(*[
         F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("pokemon")))).alias(f"{s}_lost") for s in SIDES])
@@ -190,7 +196,7 @@ def speed_factors(s: Strategy) -> DataFrame:
 
 def momentum_events(s: Strategy) -> DataFrame:
     """Rows (turn, category, type, side, detail) behind the momentum of a turn."""
-    lost = lost_species(s.turns, s.slots)
+    lost = lost_species(s.windows, s.slots)
     name = F.initcap("side")
     own = lost.select(*KEY, "turn", F.lit("negative").alias("category"), F.lit("own_pokemon_fainted").alias("type"),
                       "side", F.concat(name, F.lit(" lost "), "pokemon").alias("detail"))
@@ -222,7 +228,7 @@ def resource_summary(s: Strategy) -> DataFrame:
 
 def mistake_candidates(s: Strategy) -> DataFrame:
     """Switch-ins that fainted the same turn, and big swings of the score."""
-    acts = turns.turn_actions(s.turns)
+    acts = turns.turn_actions(s.windows)
     came = acts.where("type = 'switch'").select(*KEY, "turn", "side", "pokemon").distinct()
     blind = turns.turn_faints(s.turns).join(came, [*KEY, "turn", "side", "pokemon"], "left_semi").select(
         *KEY, "turn", F.lit("blind_switch_koed").alias("type"), "side",
@@ -261,7 +267,7 @@ def primary_closers(s: Strategy) -> DataFrame:
     """Per side the species with most moves on turns in which an opposing species fell, at least two."""
     fell = turns.turn_faints(s.turns).select(
         *KEY, "turn", F.when(F.col("side") == "player", "opponent").otherwise("player").alias("side")).distinct()
-    moves = turns.turn_actions(s.turns).where("type = 'move'").join(fell, [*KEY, "turn", "side"], "left_semi")
+    moves = turns.turn_actions(s.windows).where("type = 'move'").join(fell, [*KEY, "turn", "side"], "left_semi")
     counts = moves.groupBy(*KEY, "side", "pokemon").agg(
         F.count(F.lit(1)).alias("count"), F.min(F.struct("turn", "seq")).alias("_first"))
     best = counts.groupBy(*KEY, "side").agg(
@@ -285,7 +291,7 @@ def threat_moves(s: Strategy) -> DataFrame:
     """Moves each opponent species had shown by the last turn it was on the board."""
     shown = s.boards.where("side = 'opponent'").select(*KEY, "turn", F.explode("board").alias("pokemon"))
     until = shown.groupBy(*KEY, "pokemon").agg(F.max("turn").alias("until"))
-    seen = turns.first_reveals(s.turns).where("side = 'opponent'").join(until, [*KEY, "pokemon"])
+    seen = turns.first_reveals(s.windows).where("side = 'opponent'").join(until, [*KEY, "pokemon"])
     return seen.where(F.col("first.turn") < F.col("until")).select(*KEY, "pokemon", "move_name")
 
 

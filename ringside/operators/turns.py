@@ -186,14 +186,17 @@ def decision_windows(t: Turns, boards: DataFrame = None) -> DataFrame:
         F.coalesce("moves", F.lit(0)).alias("moves"), F.coalesce("switches", F.lit(0)).alias("switches"))
 
 
-def hp_at_start(t: Turns, slots: DataFrame = None) -> DataFrame:
-    """Last known HP of every available slot as of the start of the turn."""
+def hp_at_start(t: Turns, slots: DataFrame = None, windows: Turns = None) -> DataFrame:
+    """Last known HP of every available slot as of the start of the turn.
+
+    `windows` gives the turns and slots when these follow another order than the HP rows.
+    """
     hits = _of_side(t.events).where((F.col("event") == "hp_change") & F.col("hp_percent").isNotNull())
     keys = [*KEY, "side", "species"]
     hits = hits.groupBy(*KEY, "side", c.species_key("pokemon").alias("species"), "turn").agg(
         F.max_by("hp_percent", t.order).alias("hp"))
     marks = hits.withColumn("_at", F.col("turn").cast("bigint") * 2 + 1)
-    asked = available(t, slots).withColumn("_at", F.col("turn").cast("bigint") * 2)
+    asked = available(windows or t, slots).withColumn("_at", F.col("turn").cast("bigint") * 2)
     axis = asked.unionByName(marks, allowMissingColumns=True)
     filled = scan(axis, keys, "_at", {"known_hp": last_of(F.col("hp"))})
     return filled.where(F.col("slot").isNotNull()).drop("_at", "hp")

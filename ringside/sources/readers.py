@@ -56,10 +56,13 @@ def silver_events(bronze: DataFrame, user=None) -> DataFrame:
 
 
 def read_events_csv(spark: SparkSession, path) -> DataFrame:
-    """Event rows of CSV files, all text but position: file block and row keep the arrival order."""
+    """Bronze rows (job_id, pos, value) of CSV event files, all fields text.
+
+    Multi-line reading keeps a file in one split, so the row counter follows its lines.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.withColumn("job_id", _job_of(F.col("_metadata.file_path"))).withColumn(
-        "event_idx", F.monotonically_increasing_id())
+    value = F.try_parse_json(F.to_json(F.struct(*rows.columns)))
+    return rows.select(_job_of(F.col("_metadata.file_path")).alias("job_id"), F.monotonically_increasing_id().alias("pos"), value.alias("value"))
 
 
 def read_match_windows(spark: SparkSession, path, by_order=False) -> DataFrame:

@@ -51,8 +51,8 @@ def test_small_readers(spark, tmp_path):
     (job / "log.txt").write_text("|move|p1a: X|Surf")
     assert readers.read_replays(spark, str(job / "log.txt")).first()["raw"].startswith("|move")
     (job / "events.csv").write_text("timestamp,event\n1,move_used\n2,battle_end\n")
-    rows = readers.read_events_csv(spark, str(job / "events.csv")).orderBy("event_idx").collect()
-    assert [r["event"] for r in rows] == ["move_used", "battle_end"] and rows[0]["job_id"] == "job7"
+    rows = readers.silver_events(readers.read_events_csv(spark, str(job / "events.csv"))).orderBy("event_idx").collect()
+    assert [(r["timestamp"], r["event"]) for r in rows] == [(1.0, "move_used"), (2.0, "battle_end")] and rows[0]["job_id"] == "job7"
 
 
 def test_writers(spark, tmp_path):

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from ringside.operators import clean, history, record, review, signals, turns
+from ringside.operators import clean, history, record, review, signals, strategy, turns
+from ringside.plans.ordering import in_time_order
 
 KEY = "user_id string, job_id string, match int"
 
@@ -184,3 +185,23 @@ def test_match_numbers_from_previews(spark):
         ["move_used", "team_preview", "move_used", "team_preview", "battle_end"])]
     got = record.with_match_numbers(frame(spark, rows)).orderBy("event_idx").collect()
     assert [r["match"] for r in got] == [1, 1, 1, 2, 2]
+
+
+def test_windows_follow_time_and_readings_follow_arrival(spark):
+    base = {"user_id": "u", "job_id": "j", "match": 1}
+    rows = [
+        {**base, "event": "team_preview", "timestamp": 0.0, "player_brought": ["A", "B"], "opponent_brought": ["W", "X"]},
+        {**base, "event": "field_state", "timestamp": 10.0, "turn": 1},
+        {**base, "event": "field_state", "timestamp": 40.0, "turn": 2, "tailwind": "player"},
+        {**base, "event": "pokemon_fainted", "timestamp": 12.0, "actor": "player", "pokemon": "A"},
+        {**base, "event": "battle_end", "timestamp": 50.0, "winner": "opponent"},
+    ]
+    events = frame(spark, [{**r, "event_idx": i} for i, r in enumerate(rows)])
+    s = strategy.strategy_of(in_time_order(events), "event_idx", "time_idx")
+    one, two = s.timeline.orderBy("turn").collect()
+    # In time the faint belongs to turn 1, so the loss shows in turn 2; by arrival it belongs to turn 2.
+    assert (one["player_alive"], two["player_alive"], two["player_lost"]) == (2, 1, ["A"])
+    assert (one["player_faints"], two["player_faints"]) == (0, 1)
+    assert (two["score"], two["delta"], two["reasons"]) == (-15, -15, ["Player lost A", "Player gained Tailwind"])
+    trace = strategy.loss_trace(s, events).first()
+    assert (trace["loser"], trace["decisive_turn"], trace["final_blow_turn"], trace["course"]) == ("player", 1, 2, "turned")
