@@ -1,5 +1,7 @@
 """Queries over a player's uploads."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ringside.catalog.records import SCORES
@@ -115,7 +117,6 @@ def _period(name, condition):
 def _figures(name):
     body = SCORES.format(by="user_id", by_cols="u AS user_id", source=f"SELECT * FROM {name}m WHERE winner IN ('player', 'opponent')")
     for cte in ("scores", "d", "le", "be", "s0", "s1"):
-        import re
         body = re.sub(rf"\b{cte}\b(?=\.| AS \(| USING| LEFT| GROUP|\)| WHERE)", f"{name}_{cte}", body)
         body = re.sub(rf"(?<=FROM ){cte}\b", f"{name}_{cte}", body)
         body = re.sub(rf"(?<=JOIN ){cte}\b", f"{name}_{cte}", body)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ringside.contracts import KEY
 from ringside.functions import columns as c
 from ringside.operators.record import top_n
-from ringside.operators.teams import narrow_species_by_types
+from ringside.operators.teams import default_dex, narrow_species_by_types
 from ringside.plans.folds import fold
 from ringside.plans.nearest import around, attach, best_within
 from ringside.plans.ordering import sorted_index
@@ -167,8 +167,6 @@ def row_type_hints(reads: DataFrame, keys, dex=None, legal=None) -> DataFrame:
     """Candidate species of each roster row from its voted types; rows without a sure type give nothing."""
     voted = vote_types(reads, keys).where(F.size("identified_types") > 0)
     if legal is not None:
-        from ringside.operators.teams import default_dex
-
         dex = {k: v for k, v in (default_dex() if dex is None else dex).items() if k in set(legal)} or None
     return narrow_species_by_types(voted, "identified_types", "num_badges_found", dex)
 

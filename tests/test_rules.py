@@ -1,5 +1,6 @@
 """Order-dependent operators against plain loops written from the rules."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -205,3 +206,16 @@ def test_windows_follow_time_and_readings_follow_arrival(spark):
     assert (two["score"], two["delta"], two["reasons"]) == (-15, -15, ["Player lost A", "Player gained Tailwind"])
     trace = strategy.loss_trace(s, events).first()
     assert (trace["loser"], trace["decisive_turn"], trace["final_blow_turn"], trace["course"]) == ("player", 1, 2, "turned")
+
+
+def test_field_status_is_corrected(spark):
+    status = '{"note": "x", "player_active": [{"pokemon": "A", "hp": 40}, {"pokemon": "B"}], "opponent_active": [{"pokemon": "A"}]}'
+    rows = [("u", "j", 1, 0, "both", None, status, False), ("u", "j", 2, 1, "both", None, status, False)]
+    events = spark.createDataFrame(rows, KEY + ", event_idx long, actor string, pokemon string, field_status string, corrected boolean").withColumn(
+        "player_active", F.array(F.lit("A")))
+    fixes = spark.createDataFrame([("u", "j", 1, "player", "A", "C", 1)], KEY + ", actor string, old_name string, new_name string, seq int")
+    got = {r["match"]: r for r in clean.apply_corrections(events, fixes).collect()}
+    assert json.loads(got[1]["field_status"]) == {
+        "note": "x", "player_active": [{"pokemon": "C", "hp": 40}, {"pokemon": "B"}], "opponent_active": [{"pokemon": "A"}]}
+    assert got[1]["player_active"] == ["C"] and got[1]["corrected"] is True
+    assert got[2]["field_status"] == status and got[2]["corrected"] is False
