@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ringside.catalog.careers import both
+from ringside.catalog.careers import SESSIONS, both
 from ringside.catalog.registry import on_matches, query
 from ringside.catalog.snippets import DECIDED, PM
 from ringside.operators import coaching as co
@@ -196,11 +196,15 @@ def notes_about(spark, sf_dir):
     return co.notes_about(_notes(spark, sf_dir), "u3").select("id", "coach_user_id")
 
 
-@query("student_profiles")
+@query("student_profiles", f"""WITH {PM}, {SESSIONS}, {_ST}, k AS (SELECT pm.* FROM pm JOIN jobs ON jobs.job_id = pm.j WHERE jobs.job_no % 5 <> 3),
+rec AS (SELECT u, count(*) FILTER (WHERE winner <> 'unknown') matches, count(*) FILTER (WHERE won) wins, count(*) FILTER (WHERE winner = 'opponent') losses
+  FROM k WHERE winner <> 'unknown' OR len(p_brought) > 0 GROUP BY u), sn AS (SELECT user_id, count(*) n FROM ses GROUP BY 1)
+SELECT coach AS coach_user_id, u AS user_id, matches, wins, losses, coalesce(sn.n, 0) AS sessions_count FROM st JOIN rec ON rec.u = st.player LEFT JOIN sn ON sn.user_id = u""")
 def student_profiles(spark, sf_dir):
     ev = match_events(spark, sf_dir)
     rows, events = both(ev)
-    return co.student_profiles(_students(spark, sf_dir), r.per_match(events), rows)
+    profiles = co.student_profiles(_students(spark, sf_dir), r.per_match(events), rows)
+    return profiles.select("coach_user_id", "user_id", "matches", "wins", "losses", "sessions_count")
 
 
 # ---- reports ----
