@@ -9,8 +9,8 @@ lower-cased; a text of fewer words is one shingle; a text without words has an e
 3. `postings`: shingles are ordered by (sketch frequency, hash), rarest first. With n shingles and
    T = ceil(0.75 n), two sets that link share at least l shingles among their first n - T + l ones. Each
    document picks l from 1 to `MOST_MATCHES` with the least estimated cost (rows read plus candidates to verify) and
-   posts that prefix. A pair is a candidate if it shares at least the smaller of both l, and if at each shared
-   shingle the posted shingles before it and the rest after it still allow enough overlap.
+   posts that prefix. A pair is a candidate if it shares at least the smaller of both l, and if what it shares in
+   the prefixes and the rest of either set still allow the overlap that both sizes ask for.
 4. Groups of near copies would give all pairs, so `rounds` first verify each node against one node per shingle
    (the one that shares most, drawn anew in every round) and close the links to classes. Then pairs that are in one
    class already need no check, and the rest are taken in full: no link between classes is lost.
@@ -177,6 +177,19 @@ def _similar(num, den):
     return (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & ((num + den) * most >= num * (F.col("n") + F.col("pn")))
 
 
+def _enough(num, den):
+    """Do k shared posted shingles, with the l of both, leave room for a link?
+
+    All shared shingles up to the earlier of the two last posted ones are among the k; the others are among the
+    T - l shingles that this set does not post.
+    """
+    def rest(n, level):
+        return F.expr(f"({num} * {n} + {den} - 1) div {den}") - F.col(level)
+
+    most = F.col("k") + F.greatest(rest("n", "l"), rest("pn", "pl"))
+    return (F.col("k") >= F.least("l", "pl")) & ((num + den) * most >= num * (F.col("n") + F.col("pn")))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
 
@@ -249,17 +262,18 @@ def _star_pairs(live, round_no, num, den):
     A token has two pivots: the least of a hash drawn for the round, and in the first round the node with the most
     shared tokens (the least edited copy of a group), later the least of another hash.
     """
-    as_pivot = [F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("before").alias("pbefore"), F.col("rest").alias("prest")]
+    as_pivot = [F.col("node").alias("p"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("comp").alias("pc"), F.col("before").alias("pbefore"), F.col("rest").alias("prest")]
     rank = [F.xxhash64("node", F.lit(2 * round_no + k)).alias("h") for k in range(2)]
     if round_no == 0:
         weight = live.groupBy("node").agg(F.count("*").alias("c"))
         live = live.join(weight, "node")
         rank = [rank[0], F.struct(-F.col("c"), "node").alias("h")]
     pivots = live.groupBy("token").agg(*[F.min(F.struct(h, *as_pivot)).alias(f"pivot{k}") for k, h in enumerate(rank)])
-    pivots = pivots.select("token", *[F.struct(*[f"pivot{k}.{c}" for c in ("p", "pn", "pc", "pbefore", "prest")]).alias(f"pivot{k}") for k in range(2)])
-    met = live.join(pivots, "token").select("node", "n", "comp", "before", "rest", F.explode(F.array_distinct(F.array("pivot0", "pivot1"))).alias("pivot"))
-    met = met.select("node", "n", "comp", "before", "rest", "pivot.*").filter((F.col("comp") != F.col("pc")) & _similar(num, den))
-    shared = met.groupBy("node", "p").agg(F.count("*").alias("k"))
+    pivots = pivots.select("token", *[F.struct(*[f"pivot{k}.{c}" for c in ("p", "pn", "pl", "pc", "pbefore", "prest")]).alias(f"pivot{k}") for k in range(2)])
+    met = live.join(pivots, "token").select("node", "n", "l", "comp", "before", "rest", F.explode(F.array_distinct(F.array("pivot0", "pivot1"))).alias("pivot"))
+    met = met.select("node", "n", "l", "comp", "before", "rest", "pivot.*").filter((F.col("comp") != F.col("pc")) & _similar(num, den))
+    # k counts the tokens that have p as pivot; pairs that share more are left to later rounds or to `_all_pairs`.
+    shared = met.groupBy("node", "p").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "pn", "pl")]).filter(_enough(num, den))
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "p"))).filter("r <= 2")
     return best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
@@ -269,8 +283,8 @@ def _all_pairs(live, num, den):
     other = live.select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("comp").alias("pc"),
                         F.col("before").alias("pbefore"), F.col("rest").alias("prest"))
     met = live.join(other, "token").filter((F.col("node") < F.col("p")) & (F.col("comp") != F.col("pc")) & _similar(num, den))
-    counted = met.groupBy(F.col("node").alias("a"), F.col("p").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("l", "pl")).alias("l"))
-    return counted.filter("k >= l").select("a", "b")
+    counted = met.groupBy(F.col("node").alias("a"), F.col("p").alias("b")).agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "pn", "pl")])
+    return counted.filter(_enough(num, den)).select("a", "b")
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -301,7 +315,6 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
     live = live.withColumn("comp", F.col("node")).withColumn("n", F.expr("size div 16")).withColumn("l", F.col("size") % 16)
     live = _unsettled(frames.stored(live, "live")).withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
     live = frames.stored(live.select("token", "node", "n", "l", "comp", "before", (F.col("n") - F.col("place") - 1).alias("rest")), "live")
-    texts = frames.stored(node_texts(docs, live.select("node").distinct()), "texts")
 
     round_no, found, classes = 0, None, None
     while True:
@@ -310,7 +323,8 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
             break
         nodes = live.select("node").distinct().count()
         last = round_no and (left <= size or found < SETTLED * nodes)
-        pairs = _all_pairs(live, num, den) if last else _star_pairs(live, round_no, num, den)
+        pairs = frames.stored(_all_pairs(live, num, den) if last else _star_pairs(live, round_no, num, den), "pairs")
+        texts = frames.stored(node_texts(docs, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")), "texts")
         links.append(frames.stored(verified(pairs, texts, width, num, den), "links"))
         if last:
             classes = classes if links[-1].isEmpty() else components(_union(links))
