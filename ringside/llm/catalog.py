@@ -3,7 +3,7 @@
 import importlib
 
 #: Module of each numbered operator; `op<N>_...` in it is its query, `ORACLE_SQL` its SQL where there is one.
-OPERATORS = ["jaccard_join"]
+OPERATORS = ["license_scan", "decontaminate", "quality", "mixing", "language_id", "toxicity", "jaccard_join", "nearest"]
 
 
 def load():

@@ -48,12 +48,16 @@ def held_out(column="doc_id"):
     return fold(column) == 0
 
 
-def _map(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow whose workers find this library where the driver does, or else as it is installed there."""
+def reach(df: DataFrame) -> None:
+    """Let Python workers find this library where the driver does, or else as it is installed there."""
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def _map(df: DataFrame, run, schema) -> DataFrame:
+    reach(df)
     return df.mapInArrow(run, schema)
 
 
