@@ -339,6 +339,16 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The document with the smallest doc_id of each class, once, columns as they were; rows without doc_id stay."""
+    heads = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    others = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.filter("doc_id is not null").join(heads, "doc_id", "leftsemi")
+    # Rows that repeat an id become the one that sorts last.
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct(*others)).alias("_row")).select("doc_id", "_row.*")
+    return rows.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def _union(frames_):
     out = frames_[0]
     for more in frames_[1:]:

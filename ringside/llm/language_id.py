@@ -1,6 +1,6 @@
 """6. Language identification: nearest of several clustered centroids per language, by cosine of TF-IDF n-grams.
 
-A text's vector counts hashed byte trigrams of the whole lower-cased text (`BUCKETS` buckets), damped by 1 + log,
+A text's vector counts hashed byte trigrams of the letters of the whole text, lower-cased (`BUCKETS` buckets), damped by 1 + log,
 weighted by inverse document frequency over all learning documents and normalised. For each language spherical
 k-means on a bounded sample of learning documents gives `CLUSTERS` centroids. A text takes the language of the nearest
 centroid. It is rejected when its cosine to it lies below what learning texts of that language and about that length
@@ -40,7 +40,7 @@ def has_letter(text: bytes) -> bool:
 def counts_of(array, buckets=BUCKETS):
     """(first row, float32 matrix of 1 + log counts, byte lengths) for runs of rows."""
     for first, data, offsets in words.chunks(array):
-        low = words.lowered(data)
+        low, offsets = words.letters_only(data, offsets)
         for a in range(0, len(offsets) - 1, 512):
             rows = [words.ngram_counts(low[x:y], buckets) for x, y in zip(offsets[a:a + 512], offsets[a + 1:a + 513])]
             m = np.log1p(np.stack(rows))

@@ -112,5 +112,21 @@ def ngram_counts(text: np.ndarray, buckets: int, size=3) -> np.ndarray:
     return np.bincount(code, minlength=buckets).astype(np.float32)
 
 
+def letters_only(data: np.ndarray, offsets: np.ndarray):
+    """Lower-cased letters with one blank for each run of other signs between them, and the new offsets.
+
+    Letters are A-Z and all non-ASCII characters; Latin-1 capitals count as small letters too.
+    """
+    low = _LOWER[data]
+    latin = np.zeros(len(low), bool)
+    latin[1:] = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+    low = low + latin.astype(np.uint8) * np.uint8(32)
+    letter = ((low >= 97) & (low <= 122)) | (low >= 128)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    low[~letter] = 32
+    return low[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
