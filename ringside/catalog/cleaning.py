@@ -94,7 +94,7 @@ _LEARN = "SELECT DISTINCT regexp_replace(lower(pokemon), '[^a-z0-9]', '', 'g') s
 WITH l AS ({_LEARN}), x AS (SELECT event_id, pokemon, confidence, detail, regexp_replace(detail, ' \\(failed\\)$', '') m FROM ev WHERE event = 'move_used'),
 y AS (SELECT x.*, EXISTS (SELECT 1 FROM l WHERE l.sp = {_norm('x.pokemon')}) kn, EXISTS (SELECT 1 FROM l WHERE l.sp = {_norm('x.pokemon')} AND l.mv = {_norm('x.m')}) ok FROM x)
 SELECT event_id, CASE WHEN kn THEN ok END AS plausible, CASE WHEN kn AND NOT ok THEN least(confidence, 0.3) ELSE confidence END::DOUBLE AS confidence,
-  CASE WHEN kn AND NOT ok THEN detail || ' [move-legality check: ''' || m || ''' is not in ' || pokemon || '''s known learnset - worth verifying against the source frame]' ELSE detail END AS detail FROM y""")
+  CASE WHEN kn AND NOT ok THEN detail || ' [' || m || ' is no known move of ' || pokemon || ']' ELSE detail END AS detail FROM y""")
 def flag_implausible_moves(ev):
     learnsets = ev.where("event = 'move_used' and job_no % 4 = 0 and pokemon not in ('Garchomp', 'Snorlax')").select(
         c.norm("pokemon").alias("species"), c.norm(c.move_name(F.lit(None), "detail")).alias("move"))
@@ -250,7 +250,8 @@ _PIX = "SELECT job_id || '/' || match || '/' || reference_frame f, actor a, max(
 
 
 def _framed(ev):
-    return ev.withColumn("reference_frame", F.concat_ws("/", "job_id", "match", F.col("reference_frame"))).where(F.col("reference_frame").contains("frame"))
+    """Frame names repeat in every match, so the readings below carry the match key."""
+    return ev.where("reference_frame is not null")
 
 
 @on_matches("cross_check_hp", f"""WITH b AS ({_PIX}), x AS (SELECT event_id, event, hp_percent, confidence, bar FROM ev e LEFT JOIN b ON b.f = e.job_id || '/' || e.match || '/' || e.reference_frame AND b.a = e.actor WHERE e.reference_frame IS NOT NULL)
@@ -258,8 +259,8 @@ SELECT event_id, CASE WHEN event = 'hp_change' AND abs(hp_percent - round_even(b
   coalesce(event = 'hp_change' AND abs(hp_percent - round_even(bar * 100, 0)) > 8, false) AS noted FROM x""")
 def cross_check_hp(ev):
     rows = _framed(ev)
-    pixels = rows.where("actor in ('player', 'opponent') and pos % 2 = 0").groupBy("reference_frame", "actor").agg((F.max("k") / 100).alias("hp_fraction"))
-    return k.cross_check_hp(rows, pixels).select(ID, "confidence", F.col("detail").contains("[HP pixel-check").alias("noted"))
+    pixels = rows.where("actor in ('player', 'opponent') and pos % 2 = 0").groupBy(*KEY, "reference_frame", "actor").agg((F.max("k") / 100).alias("hp_fraction"))
+    return k.cross_check_hp(rows, pixels).select(ID, "confidence", F.coalesce(F.col("detail").contains("[bar in the frame"), F.lit(False)).alias("noted"))
 
 
 @on_matches("cross_check_status", """WITH i AS (SELECT job_id || '/' || match || '/' || reference_frame f, max(CASE WHEN k % 4 = 1 THEN 'burn' END) ic FROM ev WHERE reference_frame IS NOT NULL AND k % 3 <> 0 GROUP BY 1)
@@ -267,7 +268,7 @@ SELECT event_id, CASE WHEN event = 'status_inflicted' AND actor = 'opponent' AND
 FROM ev e LEFT JOIN i ON i.f = e.job_id || '/' || e.match || '/' || e.reference_frame WHERE e.reference_frame IS NOT NULL""")
 def cross_check_status(ev):
     rows = _framed(ev)
-    icons = rows.where("k % 3 <> 0").select("reference_frame", F.when(F.col("k") % 4 == 1, "burn").alias("icon"))
+    icons = rows.where("k % 3 <> 0").select(*KEY, "reference_frame", F.when(F.col("k") % 4 == 1, "burn").alias("icon"))
     return k.cross_check_status(rows, icons).select(ID, "confidence")
 
 
@@ -278,8 +279,8 @@ y AS (SELECT *, len(list_filter(string_split(tx, ' '), lambda w: length({_norm('
 SELECT event_id, CASE WHEN ask THEN vis ELSE reference_frame_shows_subject END AS reference_frame_shows_subject, CASE WHEN ask AND NOT vis THEN least(confidence, 0.5) ELSE confidence END::DOUBLE AS confidence FROM y""")
 def cross_check_visibility(ev):
     rows = _framed(ev)
-    text = rows.where("pokemon is not null").select("reference_frame", F.concat(F.lit("Lv50 "), "pokemon", F.lit(" here")).alias("text"))
-    framed = rows.join(text.select("reference_frame").distinct(), "reference_frame", "left_semi")
+    text = rows.where("pokemon is not null").select(*KEY, "reference_frame", F.concat(F.lit("Lv50 "), "pokemon", F.lit(" here")).alias("text"))
+    framed = rows.join(text.select(*KEY, "reference_frame").distinct(), [*KEY, "reference_frame"], "left_semi")
     return k.cross_check_visibility(framed, text).select(ID, "reference_frame_shows_subject", "confidence")
 
 
@@ -349,9 +350,19 @@ def append_renumbered(ev):
 
 @on_matches("upsert_grades", """SELECT job_id, match, CASE WHEN match % 3 = 0 THEN 'graded again' ELSE 'graded' END AS notes FROM {ev} WHERE event = 'battle_end'""")
 def upsert_grades(ev):
-    ends = ev.where("event = 'battle_end'").select("job_id", "match", F.lit("graded").alias("notes"))
+    ends = ev.where("event = 'battle_end'").select(*KEY, F.lit("graded").alias("notes"))
+    # Only some uploads are graded again; the same match number of the others keeps its grade.
     again = ends.where("match % 3 = 0").withColumn("notes", F.lit("graded again"))
-    return k.replace_matches(ends, again, ["job_id", "match"])
+    return k.upsert_grades(ends, again).select("job_id", "match", "notes")
+
+
+@on_matches("revealed_items", """SELECT user_id_text AS user_id, job_id, match, actor, pokemon, arg_max(item, event_idx) AS item
+FROM (SELECT *, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN '' ELSE 'Item ' || k % 5 END AS item, CASE WHEN event = 'move_used' THEN 'item_or_ability_activated' ELSE event END AS kind
+  FROM (SELECT * EXCLUDE (item) FROM {ev})) WHERE kind = 'item_or_ability_activated' AND item <> '' AND actor <> '' AND pokemon <> '' GROUP BY ALL""")
+def revealed_items(ev):
+    rows = ev.withColumn("event", F.when(F.col("event") == "move_used", "item_or_ability_activated").otherwise(F.col("event")))
+    rows = rows.withColumn("item", F.when(F.col("k") % 4 == 1, "").when(F.col("k") % 4 > 1, F.concat(F.lit("Item "), (F.col("k") % 5).cast("string"))))
+    return k.revealed_items(rows)
 
 
 @on_matches("remember_last_rooms", """WITH x AS (SELECT user_id, props || event_type room_id, max(event_id) m FROM {ev} GROUP BY 1, 2)

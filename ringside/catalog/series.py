@@ -176,7 +176,7 @@ def vote_types(ev):
     return s.vote_types(_reads(ev), ROW).withColumn("identified_types", F.array_join("identified_types", ", "))
 
 
-_DEXL = "dx(n, ts) AS (VALUES " + ", ".join(f"('{n}', [{', '.join(repr(x) for x in sorted(t.split()))}])" for n, t in fixed.SPECIES_TYPES.items()) + ")"
+_DEXL = "dx(n, ts) AS (VALUES " + ", ".join(f"('{n}', [{', '.join(repr(x) for x in sorted(t))}])" for n, t in fixed.SPECIES_TYPES.items()) + ")"
 _NARROW = "(SELECT string_agg(n, ', ' ORDER BY n) FROM dx WHERE len(vo.ts) = 0 OR (CASE WHEN vo.nb <= 1 OR len(vo.ts) >= 2 THEN dx.ts = vo.ts ELSE list_contains(dx.ts, vo.ts[1]) END))"
 
 

@@ -143,8 +143,8 @@ def primary_closers(ev):
     return s.primary_closers(s.strategy_of(ev))
 
 
-_CHART = ", ".join(f"('{a}', '{d.split()[0]}', {float(d.split()[1])})" for a in fixed.TYPES for d in fixed.TYPE_CHART[a].split(", "))
-_DEX = ", ".join(f"('{n}', {i}, '{t}')" for n, ts in fixed.SPECIES_TYPES.items() for i, t in enumerate(ts.split()))
+_CHART = ", ".join(f"('{a}', '{d}', {float(m)})" for a in fixed.TYPES for d, m in fixed.TYPE_CHART[a].items())
+_DEX = ", ".join(f"('{n}', {i}, '{t}')" for n, ts in fixed.SPECIES_TYPES.items() for i, t in enumerate(ts))
 # Multiplier of the best own type of one species against another.
 DEX = f"""chart(a, d, m) AS (VALUES {_CHART}), dex(n, i, t) AS (VALUES {_DEX}),
 types(t) AS (SELECT unnest([{_IN(fixed.TYPES)}])), species AS (SELECT DISTINCT n FROM dex),

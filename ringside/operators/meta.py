@@ -7,12 +7,9 @@ from ringside.functions import fixed_values as fixed
 from ringside.operators.record import top_n
 from ringside.plans.scan import last_of, scan
 
-# Shapes of the published tables.
-USAGE_ROW = "^\\|\\s*\\d+\\s*\\|\\s*(.+?)\\s*\\|\\s*([\\d.]+)%\\s*\\|"
-TOTAL_BATTLES = "Total battles:\\s*(\\d+)"
-BORDER = "^\\+-+\\+\\s*$"
-RAW_COUNT = "Raw count:\\s*(\\d+)"
-MOVESET_ROW = "^\\|\\s*(.+?)\\s+([\\d.]+)%\\s*\\|?\\s*$"
+# Labels of the published tables.
+TOTAL_BATTLES = "Total battles:"
+RAW_COUNT = "Raw count:"
 SECTIONS = ["Abilities", "Items", "Spreads", "Moves", "Teammates"]
 
 
@@ -21,13 +18,30 @@ def text_lines(texts: DataFrame, keys) -> DataFrame:
     return texts.select(*keys, F.posexplode(F.split("text", "\\r\\n|\\n|\\r")).alias("line_no", "line"))
 
 
+def _cells():
+    return F.transform(F.split("line", "[|]"), lambda x: F.trim(x))
+
+
+def _number_after(label):
+    """The whole number behind a label in the line."""
+    rest = F.ltrim(F.substring_index("line", label, -1))
+    digits = F.split(rest, "[^0-9]", 2)[0]
+    return F.when(F.col("line").contains(label), digits.try_cast("bigint"))
+
+
+def _share(cell):
+    """12.5 of "12.5%"; NULL of anything else."""
+    return F.when(cell.endswith("%"), F.rtrim(cell, F.lit("%")).try_cast("double"))
+
+
 def usage_stats(texts: DataFrame, keys) -> DataFrame:
     """Species, percentage and total battles; a text that is not a table gives no rows."""
-    lines = text_lines(texts, keys)
-    battles = lines.where(F.col("line").rlike(TOTAL_BATTLES)).groupBy(*keys).agg(
-        F.min_by(F.regexp_extract("line", TOTAL_BATTLES, 1).cast("bigint"), "line_no").alias("total_battles"))
-    rows = lines.where(F.col("line").rlike(USAGE_ROW)).groupBy(*keys, F.regexp_extract("line", USAGE_ROW, 1).alias("species")).agg(
-        F.max_by(F.regexp_extract("line", USAGE_ROW, 2).try_cast("double"), "line_no").alias("pct"))
+    lines = text_lines(texts, keys).withColumns({"battles": _number_after(TOTAL_BATTLES), "cells": _cells()})
+    battles = lines.where("battles is not null").groupBy(*keys).agg(F.min_by("battles", "line_no").alias("total_battles"))
+    cell = lambda i: F.get("cells", F.lit(i))
+    # | rank | species | share% | ...
+    table = F.col("line").startswith("|") & (F.size("cells") >= 5) & cell(1).try_cast("bigint").isNotNull() & (cell(2) != "") & _share(cell(3)).isNotNull()
+    rows = lines.where(table).groupBy(*keys, cell(2).alias("species")).agg(F.max_by(_share(cell(3)), "line_no").alias("pct"))
     return rows.join(battles, keys, "left")
 
 
@@ -38,10 +52,14 @@ def moveset_stats(texts: DataFrame, keys) -> DataFrame:
     first heading in the block to the next border.
     """
     lines = text_lines(texts, keys)
-    cell = F.trim(F.regexp_replace(F.regexp_replace(F.trim("line"), "^\\|+", ""), "\\|+$", ""))
+    cell = F.trim(F.trim(F.trim("line"), F.lit("|")))
+    framed = F.rtrim("line")
+    border = framed.startswith("+-") & framed.endswith("-+") & (F.replace(framed, F.lit("-"), F.lit("")) == "++")
+    # The last word is the share, the words before it the label.
+    last = F.substring_index(cell, " ", -1)
     lines = lines.withColumns({
-        "cell": cell, "raw": F.regexp_extract("line", RAW_COUNT, 1).try_cast("bigint"),
-        "section": F.when(cell.isin(SECTIONS), cell), "border": F.col("line").rlike(BORDER)})
+        "cell": cell, "raw": _number_after(RAW_COUNT), "section": F.when(cell.isin(SECTIONS), cell), "border": border,
+        "label": F.rtrim(F.substring(cell, F.lit(1), F.length(cell) - F.length(last))), "pct": F.when(F.col("line").startswith("|"), _share(last))})
     heads = lines.where("raw is not null").select(*keys, (F.col("line_no") - 2).alias("line_no"), F.col("raw").alias("_count"))
     lines = lines.join(heads, [*keys, "line_no"], "left")
     name = F.when(F.col("_count").isNotNull(), F.struct(F.col("line_no").alias("at"), F.col("cell").alias("species"), F.col("_count").alias("n")))
@@ -55,10 +73,10 @@ def moveset_stats(texts: DataFrame, keys) -> DataFrame:
     rows = opened.where(
         (F.col("block.species") != "") & F.col("head").isNotNull() & (F.col("head.line_no") >= F.col("block.at"))
         & F.col("section").isNull() & ~F.coalesce(F.col("fence") > F.col("head.line_no"), F.lit(False)))
-    rows = rows.where(F.col("line").rlike(MOVESET_ROW)).select(
+    rows = rows.where("pct is not null and label <> ''").select(
         *keys, F.col("block.at").alias("_at"), F.col("block.species").alias("species"), F.col("block.n").alias("raw_count"),
         F.col("head.section").alias("section"), F.col("head.line_no").alias("_first"),
-        F.regexp_extract("line", MOVESET_ROW, 1).alias("label"), F.regexp_extract("line", MOVESET_ROW, 2).try_cast("double").alias("pct"))
+        "label", "pct")
     return rows.join(first, [*keys, "_at", "section", "_first"], "left_semi").drop("_at", "_first")
 
 

@@ -163,11 +163,18 @@ def vote_types(reads: DataFrame, keys, cap=3) -> DataFrame:
     return rows.withColumn("identified_types", F.coalesce("identified_types", F.array().cast("array<string>")))
 
 
+def _base_name(name):
+    """A species name in lower case without its form."""
+    return "".join(x for x in name.split("-")[0].lower() if x.isalnum())
+
+
 def row_type_hints(reads: DataFrame, keys, dex=None, legal=None) -> DataFrame:
     """Candidate species of each roster row from its voted types; rows without a sure type give nothing."""
     voted = vote_types(reads, keys).where(F.size("identified_types") > 0)
     if legal is not None:
-        dex = {k: v for k, v in (default_dex() if dex is None else dex).items() if k in set(legal)} or None
+        # Forms count as their base species; a list that allows nothing leaves an empty dex.
+        allowed = {_base_name(name) for name in legal}
+        dex = {k: v for k, v in (default_dex() if dex is None else dex).items() if _base_name(k) in allowed}
     return narrow_species_by_types(voted, "identified_types", "num_badges_found", dex)
 
 

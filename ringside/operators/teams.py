@@ -19,7 +19,7 @@ _EMPTY = "array<string>"
 
 
 def default_dex():
-    return {name: types.split() for name, types in fixed.SPECIES_TYPES.items()}
+    return {name: list(types) for name, types in fixed.SPECIES_TYPES.items()}
 
 
 def _guard(types):

@@ -1,7 +1,5 @@
 """Exact order numbers for groups of any length, and lineage cuts that survive lost executors."""
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +9,14 @@ from ringside.plans.scan import count_of, scan
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the cluster's checkpoint folder and read it back.
 
-    The folder is the session's `spark.checkpoint.dir`; one is made only when
-    that is unset and the session runs on this machine.
+    The folder is the session's `spark.checkpoint.dir` or the context's own checkpoint folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="ringside-checkpoint-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -6,10 +6,22 @@ from pyspark.sql import types as T
 
 from ringside.contracts import EVENTS, NAME_LIST_COLUMNS
 from ringside.functions import columns as c
+from ringside.plans.ordering import materialise, ranked
 
 
 def _job_of(path):
-    return F.element_at(F.split(path, "/"), -2)
+    """The folder of a file, as a plain name or as a partition of the writers."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^job_id=", "")
+
+
+def _numbered(rows, path, name):
+    """Add `name`: the row's number in its own file, from 0, in reading order.
+
+    The running ids are written before they are compared, and a file's ids are gap-free as each file here is one split.
+    """
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
+    first = rows.groupBy(F.col(path).alias("_path")).agg(F.min("_id").alias("_first"))
+    return rows.join(first, F.col(path) == F.col("_path")).withColumn(name, F.col("_id") - F.col("_first")).drop("_id", "_path", "_first")
 
 
 def _array_rows(parsed):
@@ -26,9 +38,15 @@ def normalize_ai_payload(texts: DataFrame, keys, text="text") -> DataFrame:
 
 
 def read_events_json(spark: SparkSession, path) -> DataFrame:
-    """Bronze rows (job_id, pos, value) of event files; the job is the folder, `pos` the place in the array."""
+    """Bronze rows (job_id, pos, value) of event files: one JSON text, or one event per line as the writer leaves them.
+
+    The job is the folder; `pos` is the row's own event_idx where it has one, else its place in the file.
+    """
     files = spark.read.text(path, wholetext=True).select(_job_of(F.col("_metadata.file_path")).alias("job_id"), F.col("value").alias("text"))
-    return normalize_ai_payload(files, ["job_id"])
+    lines = F.filter(F.transform(F.split("text", "\\R"), lambda x: F.try_parse_json(x)), lambda x: x.isNotNull())
+    events = F.coalesce(_array_rows(F.try_parse_json("text")), lines)
+    rows = files.select("job_id", F.posexplode(events).alias("pos", "value"))
+    return rows.select("job_id", F.coalesce(F.try_variant_get("value", "$.event_idx", "int"), "pos").alias("pos"), "value")
 
 
 def silver_events(bronze: DataFrame, user=None) -> DataFrame:
@@ -58,11 +76,12 @@ def silver_events(bronze: DataFrame, user=None) -> DataFrame:
 def read_events_csv(spark: SparkSession, path) -> DataFrame:
     """Bronze rows (job_id, pos, value) of CSV event files, all fields text.
 
-    Multi-line reading keeps a file in one split, so the row counter follows its lines.
+    Multi-line reading keeps a file in one split, so row numbers follow its lines; each file counts from 0.
     """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     value = F.try_parse_json(F.to_json(F.struct(*rows.columns)))
-    return rows.select(_job_of(F.col("_metadata.file_path")).alias("job_id"), F.monotonically_increasing_id().alias("pos"), value.alias("value"))
+    rows = _numbered(rows.select(F.col("_metadata.file_path").alias("_file"), value.alias("value")), "_file", "pos")
+    return rows.select(_job_of(F.col("_file")).alias("job_id"), "pos", "value")
 
 
 def read_match_windows(spark: SparkSession, path, by_order=False) -> DataFrame:
@@ -82,9 +101,13 @@ def read_match_windows(spark: SparkSession, path, by_order=False) -> DataFrame:
 
 
 def read_replays(spark: SparkSession, path, player="p1") -> DataFrame:
-    """Replay sources of any kind, one row per file, in path order."""
+    """Replay sources of any kind, one row per file with all that the import asks for.
+
+    A path ends in user/job/file; `ord` numbers the files of an upload by name.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("replay_id"), F.col("value").alias("raw"))
-    return files.withColumn("player", F.lit(player))
+    files = files.withColumns({"player": F.lit(player), "user_id": F.element_at(F.split("replay_id", "/"), -3), "job_id": _job_of(F.col("replay_id"))})
+    return ranked(files, ["user_id", "job_id"], ["replay_id"], "ord")
 
 
 def read_texts(spark: SparkSession, path, encoding="UTF-8") -> DataFrame:
@@ -95,10 +118,12 @@ def read_texts(spark: SparkSession, path, encoding="UTF-8") -> DataFrame:
 
 
 def read_frame_manifest(spark: SparkSession, path) -> DataFrame:
-    """(path, t, ord) of a frame list; a frame without a time gets its place in seconds."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split("value", "\\r?\\n"), F.lit(2), F.lit(1 << 30))).alias("ord", "_t"))
+    """(job_id, path, t, ord) of frame lists; a frame without a time gets its place in seconds."""
+    rows = F.split("value", "\\r?\\n")
+    lines = spark.read.text(path, wholetext=True).select(_job_of(F.col("_metadata.file_path")).alias("job_id"), F.posexplode(
+        F.slice(rows, F.lit(2), F.size(rows))).alias("ord", "_t"))
     cell = lambda i: F.trim(F.get(F.split("_t", ","), F.lit(i)))
-    return lines.where(cell(0) != "").select(cell(0).alias("path"), F.coalesce(cell(1).try_cast("double"), F.col("ord").cast("double")).alias("t"), "ord")
+    return lines.where(cell(0) != "").select("job_id", cell(0).alias("path"), F.coalesce(cell(1).try_cast("double"), F.col("ord").cast("double")).alias("t"), "ord")
 
 
 def audit_rows(lines: DataFrame, order) -> DataFrame:
@@ -115,7 +140,9 @@ def last_rows(rows: DataFrame, order, n=200) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path, n=200) -> DataFrame:
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """The last n audit rows; several files follow each other by name."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).withColumn("line_no", place)
     return last_rows(audit_rows(lines, "line_no"), "line_no", n)
 
 
@@ -148,7 +175,8 @@ def batch_results(lines: DataFrame) -> DataFrame:
 def read_transcript(spark: SparkSession, path) -> DataFrame:
     shape = T.StructType([T.StructField("match", T.IntegerType()), T.StructField("start", T.DoubleType()),
                           T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType())])
-    return spark.read.schema(shape).option("multiLine", True).json(path)
+    rows = spark.read.schema(shape).option("multiLine", True).json(path)
+    return rows.select(_job_of(F.col("_metadata.file_path")).alias("job_id"), "*")
 
 
 def read_jobs(spark: SparkSession, path) -> DataFrame:

@@ -3,10 +3,12 @@
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ringside.contracts import KEY
 from ringside.operators import replay
+from ringside.plans.ordering import materialise
 
 
 def stream_replays(arrivals: DataFrame, time, room="room_id", delay="1 hour") -> DataFrame:
@@ -15,11 +17,23 @@ def stream_replays(arrivals: DataFrame, time, room="room_id", delay="1 hour") ->
 
 
 def replay_sink(legal, path):
-    """foreachBatch function: parse each batch of whole replays and append its events."""
+    """foreachBatch function: parse each batch of whole replays and store its events under its number.
+
+    Matches go on after those of the batches stored before, and a batch that is tried again replaces itself.
+    """
 
     def write(batch: DataFrame, batch_id):
+        keys = ["user_id", "job_id"]
         events = replay.import_replays(batch, legal)
-        events.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        try:
+            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") < batch_id)
+        except AnalysisException:  # the first batch finds no folder
+            stored = None
+        if stored is not None:
+            last = materialise(stored.groupBy(*keys).agg(F.max("match").alias("_m"), (F.max("event_idx") + 1).alias("_i")))
+            events = events.join(last, keys, "left").withColumns({
+                "match": (F.col("match") + F.coalesce("_m", F.lit(0))).cast("int"), "event_idx": F.col("event_idx") + F.coalesce("_i", F.lit(0))}).drop("_m", "_i")
+        events.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
@@ -35,12 +49,13 @@ class MatchState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle):
         self.handle = handle
-        self.state = handle.getValueState("state", "ko_diff bigint, turn int, events bigint")
+        self.state = handle.getValueState("state", "ko_diff bigint, turn int, events bigint, closed boolean")
 
-    def _forget(self):
+    def _keep(self, state, until):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.state.clear()
+        self.state.update(state)
+        self.handle.registerTimer(until)
 
     @staticmethod
     def _row(key, ko_diff, turn, seen, closed, winner):
@@ -49,10 +64,12 @@ class MatchState(StatefulProcessor):
         return row.astype({"turn": "Int32"})
 
     def handleInputRows(self, key, rows, timerValues):
-        ko_diff, turn, seen = self.state.get() if self.state.exists() else (0, None, 0)
+        ko_diff, turn, seen, closed = self.state.get() if self.state.exists() else (0, None, 0, False)
         winner, latest = None, 0
+        if closed:  # late rows of a match that has ended
+            return
         for pdf in rows:
-            scored = pdf[pdf["event"] == "pokemon_fainted"]["actor"]
+            scored = pdf[pdf["event"] == "pokemon_fainted"]["actor"].str.strip().str.lower()
             ko_diff += int((scored == "opponent").sum()) - int((scored != "opponent").sum())
             read = pdf["turn"].dropna()
             if len(read):
@@ -62,16 +79,15 @@ class MatchState(StatefulProcessor):
                 winner = ends.iloc[0] or "unknown"
             seen += len(pdf)
             latest = max(latest, int(pdf["event_ms"].max()))
-        self._forget()
-        if winner is None:
-            self.state.update((ko_diff, turn, seen))
-            self.handle.registerTimer(latest + self.silence_ms)
+        # A match that ended is remembered until its silence is over, so that late rows cannot open it again.
+        self._keep((ko_diff, turn, seen, winner is not None), latest + self.silence_ms)
         yield self._row(key, ko_diff, turn, seen, winner is not None, winner)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ko_diff, turn, seen = self.state.get()
+        ko_diff, turn, seen, closed = self.state.get()
         self.state.clear()
-        yield self._row(key, ko_diff, turn, seen, True, None)
+        if not closed:
+            yield self._row(key, ko_diff, turn, seen, True, None)
 
     def close(self):
         pass
