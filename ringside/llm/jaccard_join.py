@@ -4,7 +4,7 @@ Sets: distinct 5-word shingles (64-bit hashes) of the words `[^\\x20\\x09-\\x0D]
 lower-cased; a text of fewer words is one shingle; a text without words has an empty set and no link.
 
 1. `profiles`: one map over the texts gives each document's set size and a 128-bit digest of its words, and
-   each task's counts of hashed shingles. The counts add up to a frequency sketch of fixed size (4 MB).
+   each task's counts of hashed shingles. The counts add up to a frequency sketch of fixed size (16 MB).
 2. Copies (equal digests) share one node, the smallest doc_id.
 3. `postings`: shingles are ordered by (sketch frequency, hash), rarest first. With n shingles and
    T = ceil(0.75 n), two sets that link share at least l shingles among their first n - T + l ones. Each
@@ -31,7 +31,7 @@ from ringside.llm import frames, words
 WIDTH = 5
 NUM, DEN = 75, 100
 #: Counters of the frequency sketch; its size does not depend on the data.
-SLOT_BITS, BLOCK_BITS = 20, 12
+SLOT_BITS, BLOCK_BITS = 22, 14
 MOST_MATCHES = 8
 #: Cost of one verification in units of one posting read.
 VERIFY_COST = 20.0
@@ -70,19 +70,20 @@ def digest_of(text: bytes) -> bytes:
 def _profile_maker(width):
     def make():
         hasher = words.Hasher()
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        counts = np.zeros(1 << SLOT_BITS, np.uint8)  # of one task; the order needs no counts above 255
 
         def step(batch):
             array = batch.column("text")
             n = np.zeros(len(array), np.int64)
             for row, s in shingle_sets(array, hasher, width):
                 n[row] = len(s)
-                counts[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += 1
+                at = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                counts[at] += counts[at] < 255
             none = [None] * len(array)
             return batch.column("doc_id"), n, [digest_of(t) for t in words.texts(array)], none, none
 
         def end():
-            blocks = counts.astype(np.int32).reshape(-1, 1 << BLOCK_BITS)
+            blocks = counts.reshape(-1, 1 << BLOCK_BITS)
             used = np.flatnonzero(blocks.any(axis=1))
             none = [None] * len(used)
             return none, none, none, used, [blocks[i].tobytes() for i in used]
@@ -106,13 +107,13 @@ def sketch(profile: DataFrame) -> np.ndarray:
 
         def step(batch):
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.uint8).astype(np.int64)
 
         return step, lambda: (list(sums), [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()])
 
     blocks = profile.filter("block is not null").select("block", "counts").repartition("block")
     out = np.zeros((1 << SLOT_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.int32)
-    for row in frames.emitted(blocks, make, "block int, counts binary").toLocalIterator():
+    for row in frames.emitted(blocks, make, "block int, counts binary").collect():
         out[row["block"]] = np.frombuffer(row["counts"], np.int32)
     return out.ravel()
 
@@ -143,7 +144,7 @@ def _posting_maker(freq, width, num, den):
         def step(batch):
             array, ids = batch.column("text"), batch.column("doc_id").to_pylist()
             raw = words.texts(array)
-            tokens, docs, sizes, places = [], [], [], []
+            tokens, docs, facts = [], [], []
             for row, s in shingle_sets(array, hasher, width):
                 digest = digest_of(raw[row])
                 if ids[row] is None or digest in seen:
@@ -152,10 +153,9 @@ def _posting_maker(freq, width, num, den):
                 posted, level = prefix(s, counts, floor, num=num, den=den)
                 tokens.append(posted)
                 docs.append(np.full(len(posted), ids[row], np.int64))
-                sizes.append(np.full(len(posted), len(s) * 16 + level, np.int64))
-                places.append(np.arange(len(posted)))
+                facts.append(((len(s) * 16 + level) << 32) + np.arange(len(posted), dtype=np.int64))
             if tokens:
-                return np.concatenate(tokens).view(np.int64), np.concatenate(docs), np.concatenate(sizes), np.concatenate(places)
+                return np.concatenate(tokens).view(np.int64), np.concatenate(docs), np.concatenate(facts)
 
         return step, None
 
@@ -163,18 +163,17 @@ def _posting_maker(freq, width, num, den):
 
 
 def postings(docs: DataFrame, freq, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
-    """(token, doc_id, n and l packed, place in the prefix); copies within a task post once."""
-    return frames.emitted(docs.select("doc_id", "text"), _posting_maker(freq, width, num, den), "token long, doc_id long, size long, place int")
+    """(token, doc_id, facts: n, l and the place in the prefix, packed); copies within a task post once."""
+    return frames.emitted(docs.select("doc_id", "text"), _posting_maker(freq, width, num, den), "token long, doc_id long, facts long")
 
 
-def _similar(num, den):
-    """Could these sets link, from a token that both post?
+def _brings(num, den):
+    """Can this shared token be the first that a linked pair shares?
 
-    A shared shingle before this one is posted by both, so it is among the `before` shared ones of each; after this
-    one come `rest` more. Their sum bounds the overlap, which must reach num / (num + den) of both sizes.
+    Sizes must allow a link, and as all of the overlap is at this token or behind it, both sets need enough left there.
+    Every linked pair has such a token: its first shared one.
     """
-    most = F.least("before", "pbefore") + 1 + F.least("rest", "prest")
-    return (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & ((num + den) * most >= num * (F.col("n") + F.col("pn")))
+    return (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & ((num + den) * (F.least("rest", "prest") + 1) >= num * (F.col("n") + F.col("pn")))
 
 
 def _enough(num, den):
@@ -259,31 +258,34 @@ def _pairs_left(live):
 def _star_pairs(live, round_no, num, den):
     """Pairs of a node and the pivots of its tokens: two per node at most, those that it shares most tokens with.
 
-    A token has two pivots: the least of a hash drawn for the round, and in the first round the node with the most
-    shared tokens (the least edited copy of a group), later the least of another hash.
+    A token has two pivots: the least of a hash drawn for the round, and in the first round the node that has fewest
+    rarer shingles before the token (the least edited copy of a group), later the least of another hash.
     """
-    as_pivot = [F.col("node").alias("p"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("comp").alias("pc"), F.col("before").alias("pbefore"), F.col("rest").alias("prest")]
-    rank = [F.xxhash64("node", F.lit(2 * round_no + k)).alias("h") for k in range(2)]
+    as_pivot = [F.col(c).alias(f"p{c}" if c != "node" else "p") for c in ("node", "n", "comp", "rest")]
+    rank = [F.xxhash64("node", F.lit(2 * round_no + k)) for k in range(2)]
     if round_no == 0:
-        weight = live.groupBy("node").agg(F.count("*").alias("c"))
-        live = live.join(weight, "node")
-        rank = [rank[0], F.struct(-F.col("c"), "node").alias("h")]
-    pivots = live.groupBy("token").agg(*[F.min(F.struct(h, *as_pivot)).alias(f"pivot{k}") for k, h in enumerate(rank)])
-    pivots = pivots.select("token", *[F.struct(*[f"pivot{k}.{c}" for c in ("p", "pn", "pl", "pc", "pbefore", "prest")]).alias(f"pivot{k}") for k in range(2)])
-    met = live.join(pivots, "token").select("node", "n", "l", "comp", "before", "rest", F.explode(F.array_distinct(F.array("pivot0", "pivot1"))).alias("pivot"))
-    met = met.select("node", "n", "l", "comp", "before", "rest", "pivot.*").filter((F.col("comp") != F.col("pc")) & _similar(num, den))
-    # k counts the tokens that have p as pivot; pairs that share more are left to later rounds or to `_all_pairs`.
-    shared = met.groupBy("node", "p").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "pn", "pl")]).filter(_enough(num, den))
+        rank[1] = F.struct(F.col("n") - F.col("rest"), "node")
+    pivots = live.groupBy("token").agg(*[F.min(F.struct(h.alias("h"), *as_pivot)).alias(f"pivot{k}") for k, h in enumerate(rank)])
+    pivots = pivots.select("token", *[F.struct(*[f"pivot{k}.{c}" for c in ("p", "pn", "pcomp", "prest")]).alias(f"pivot{k}") for k in range(2)])
+    met = live.join(pivots, "token").select("node", "n", "comp", "rest", F.explode(F.array_distinct(F.array("pivot0", "pivot1"))).alias("pivot"))
+    met = met.select("node", "n", "comp", "rest", "pivot.*").filter((F.col("comp") != F.col("pcomp")) & _brings(num, den))
+    shared = met.groupBy("node", "p").agg(F.count("*").alias("k"))
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "p"))).filter("r <= 2")
     return best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def _all_pairs(live, num, den):
-    """Pairs of different classes that share as many posted tokens as the smaller l asks for."""
-    other = live.select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("comp").alias("pc"),
-                        F.col("before").alias("pbefore"), F.col("rest").alias("prest"))
-    met = live.join(other, "token").filter((F.col("node") < F.col("p")) & (F.col("comp") != F.col("pc")) & _similar(num, den))
-    counted = met.groupBy(F.col("node").alias("a"), F.col("p").alias("b")).agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "pn", "pl")])
+    """Pairs of different classes that share as many posted tokens as a link asks for.
+
+    Tokens that can be a pair's first shared one bring it forward; then all posted tokens of these pairs are counted.
+    """
+    other = live.select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("rest").alias("prest"))
+    met = live.join(other, "token").filter((F.col("node") < F.col("p")) & (F.col("comp") != F.col("pcomp")) & _brings(num, den))
+    pairs = frames.stored(met.select(F.col("node").alias("a"), F.col("p").alias("b")).distinct(), "met")
+    mine = live.select(F.col("node").alias("a"), "token", "n", "l")
+    theirs = live.select(F.col("node").alias("b"), "token", F.col("n").alias("pn"), F.col("l").alias("pl"))
+    shared = pairs.join(mine, "a").join(theirs, ["b", "token"])
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "pn", "pl")])
     return counted.filter(_enough(num, den)).select("a", "b")
 
 
@@ -307,22 +309,24 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
     links = [repeated.filter("c > 1 and a < b").select("doc_id", "a").join(members.filter("n > 0"), "doc_id").select("a", F.col("rep").alias("b"))]
     freq = spark.sparkContext.broadcast(sketch(profile))
 
-    posted = frames.stored(postings(docs, freq, width, num, den), "postings")
+    # Postings are made twice rather than kept: they are the largest table here, and most tokens are in one document only.
+    posted = postings(docs, freq, width, num, den)
     shared = posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     moved = members.filter("n > 0 and rep <> doc_id").select("doc_id", "rep").distinct()
     live = posted.join(shared, "token").join(moved, "doc_id", "left")
-    live = live.groupBy("token", F.coalesce("rep", "doc_id").alias("node")).agg(F.max("size").alias("size"), F.min("place").alias("place"))
-    live = live.withColumn("comp", F.col("node")).withColumn("n", F.expr("size div 16")).withColumn("l", F.col("size") % 16)
-    live = _unsettled(frames.stored(live, "live")).withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
-    live = frames.stored(live.select("token", "node", "n", "l", "comp", "before", (F.col("n") - F.col("place") - 1).alias("rest")), "live")
+    live = live.groupBy("token", F.coalesce("rep", "doc_id").alias("node")).agg(F.max("facts").alias("facts"))
+    size, place = F.shiftright("facts", 36), F.col("facts").bitwiseAND(F.lit((1 << 32) - 1))
+    live = live.select("token", "node", size.alias("n"), F.shiftright("facts", 32).bitwiseAND(F.lit(15)).alias("l"), F.col("node").alias("comp"), (size - place - 1).alias("rest"))
+    live = frames.stored(live, "live")
 
     round_no, found, classes = 0, None, None
     while True:
-        left, size = _pairs_left(live)
-        if not left:
-            break
-        nodes = live.select("node").distinct().count()
-        last = round_no and (left <= size or found < SETTLED * nodes)
+        last = False
+        if round_no:
+            left, size = _pairs_left(live)
+            if not left:
+                break
+            last = left <= size or found < SETTLED * live.select("node").distinct().count()
         pairs = frames.stored(_all_pairs(live, num, den) if last else _star_pairs(live, round_no, num, den), "pairs")
         texts = frames.stored(node_texts(docs, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")), "texts")
         links.append(frames.stored(verified(pairs, texts, width, num, den), "links"))
