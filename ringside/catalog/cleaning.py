@@ -366,10 +366,10 @@ def revealed_items(ev):
 
 
 @on_matches("remember_last_rooms", """WITH x AS (SELECT user_id, props || event_type room_id, max(event_id) m FROM {ev} GROUP BY 1, 2)
-SELECT user_id, room_id, m AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY m DESC) AS rank FROM x QUALIFY rank <= 20""", raw=True)
+SELECT user_id, room_id, m AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY m DESC) AS rank FROM x QUALIFY rank <= 100""", raw=True)
 def remember_last(ev):
     rooms = ev.select("user_id", F.concat("props", "event_type").alias("room_id"), ID)
-    return k.remember_last(rooms, ["user_id"], ID, 20)
+    return k.remember_last(rooms, ["user_id"], ID)
 
 
 @on_matches("within_video", """WITH w AS (SELECT job_id, match, min(event_idx) * 5.0 s, job_no FROM ev GROUP BY job_id, match, job_no)

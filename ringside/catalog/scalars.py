@@ -322,7 +322,7 @@ def event_key(ev):
 
 _LINES = """case k % 12 when 0 then 'The opposing ' || pokemon || ' fainted!' when 1 then pokemon || ' fainted!' when 2 then 'It''s super effective!'
  when 3 then 'A critical hit!' when 4 then pokemon || '''s Sp. Atk sharply rose!' when 5 then pokemon || ' was burned!'
- when 6 then pokemon || ' used ' || detail || ', but it failed!' when 7 then pokemon || ' used ' || detail || '!' when 8 then 'Go! ' || pokemon || '!'
+ when 6 then pokemon || ' used ' || replace(detail, ' (failed)', '') || ', but it failed!' when 7 then pokemon || ' used ' || replace(detail, ' (failed)', '') || '!' when 8 then 'Go! ' || pokemon || '!'
  when 9 then 'Rain began to fall, rain.' when 10 then 'You won the battle!' else 'zzz' end"""
 
 
@@ -331,11 +331,11 @@ _LINES = """case k % 12 when 0 then 'The opposing ' || pokemon || ' fainted!' wh
     WHEN 6 THEN 'move_used' WHEN 7 THEN 'move_used' WHEN 8 THEN 'pokemon_sent_out' WHEN 9 THEN 'weather_or_terrain_set' WHEN 10 THEN 'battle_end' END AS event,
   CASE WHEN k % 12 IN (0, 1, 4, 5, 6, 7, 8) THEN pokemon END AS pokemon, CASE k % 12 WHEN 0 THEN 'opponent' WHEN 1 THEN 'player' WHEN 8 THEN 'player' END AS actor,
   CASE k % 12 WHEN 0 THEN pokemon || ' fainted' WHEN 1 THEN pokemon || ' fainted' WHEN 2 THEN 'It''s super effective!' WHEN 3 THEN 'A critical hit!' WHEN 4 THEN 'Sp. Atk sharply rose' WHEN 5 THEN pokemon || ' was burned'
-    WHEN 6 THEN detail || ' (failed)' WHEN 7 THEN detail WHEN 8 THEN pokemon || ' sent out' WHEN 9 THEN 'Rain began to fall, rain.' WHEN 10 THEN 'You won the battle!' END AS detail,
+    WHEN 6 THEN replace(detail, ' (failed)', '') || ' (failed)' WHEN 7 THEN replace(detail, ' (failed)', '') WHEN 8 THEN pokemon || ' sent out' WHEN 9 THEN 'Rain began to fall, rain.' WHEN 10 THEN 'You won the battle!' END AS detail,
   CASE k % 12 WHEN 6 THEN 0.9 WHEN 10 THEN 0.98 WHEN 11 THEN NULL ELSE 0.95 END::DOUBLE AS confidence
-FROM {{ev}} WHERE event = 'move_used' AND k % 11 <> 0""", raw=True)
+FROM {{ev}} WHERE event = 'move_used'""", raw=True)
 def battle_line(ev):
-    rows = ev.where("event = 'move_used' and k % 11 <> 0")
+    rows = ev.where("event = 'move_used'")
     rows = rows.withColumn("e", parse_battle_line(F.expr(_LINES)))
     return rows.select(ID, *[F.col(f"e.{x}").alias(x) for x in ("event", "pokemon", "actor", "detail", "confidence")])
 

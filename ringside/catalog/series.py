@@ -219,7 +219,7 @@ def transcript_stats(spark, sf_dir):
 
 @on_matches("match_context", """WITH l AS (SELECT user_id_text AS user_id, job_id, match, 1 AS part, event_idx AS place, '  ' || concat_ws(' | ', cast(pos * 5 AS VARCHAR) || 's', event, actor, 'pokemon=' || pokemon, 'detail=' || detail,
   'player_active=' || player_active, 'opponent_active=' || opponent_active, 'player_brought=' || nullif(player_brought, ''), 'opponent_brought=' || nullif(opponent_brought, ''), 'winner=' || winner, 'turn=' || turn) AS line FROM ev)
-SELECT * FROM l UNION ALL SELECT user_id_text, job_id, match, 2, rn, '  ' || (pos * 5) || 's: ' || event_type FROM (SELECT *, row_number() OVER (PARTITION BY job_id, match ORDER BY pos) rn FROM ev WHERE k % 2 = 0) WHERE rn <= 10""")
+SELECT * FROM l UNION ALL SELECT user_id_text, job_id, match, 2, rn, '  ' || (pos * 5) || 's: ' || event_type FROM (SELECT *, row_number() OVER (PARTITION BY job_id, match ORDER BY pos) rn FROM ev WHERE k % 2 = 0) WHERE rn <= 60""")
 def match_context(ev):
     heard = ev.where("k % 2 = 0").select(*KEY, (F.col("pos") * 5.0).alias("start"), F.col("event_type").alias("text"))
-    return s.match_context(ev, heard, 10)
+    return s.match_context(ev, heard)
