@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 FOLDS = 5
+#: Rows in one Arrow batch: long texts pile up in a batch, in the JVM and in Python alike.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,9 @@ def reach(df: DataFrame) -> None:
 
 def _map(df: DataFrame, run, schema) -> DataFrame:
     reach(df)
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
