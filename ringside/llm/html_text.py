@@ -1,8 +1,9 @@
 """4. HTML extraction: composite text density over the DOM, the subtree with the largest sum of child densities.
 
 `parse` reads a page in one pass into flat lists (no recursion), closing what HTML lets authors leave open. Scripts, styles,
-forms, menus, page headers and footers, sidebars, and parts whose class or id names an advert, notice, comment thread and so
-on are taken out (`_is_boilerplate`). For every node left, with C characters, T tags, and LC, LT of them in links:
+forms, menus, page headers and footers and sidebars are taken out (`_is_boilerplate`), and so are small parts whose class, id
+or role is the name of an advert, notice, comment thread and so on (`_is_named`, `_spared`): never a part with at least as
+much unlinked text as is left in the article or page around it. For every node left, with C characters, T tags, and LC, LT of them in links:
 
     density = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
@@ -36,10 +37,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DROPPED = frozenset("head script style noscript template iframe object svg canvas math form button select textarea input nav aside footer menu dialog audio video".split())
-#: Names in a class, id or role that mark a part as no text, compared by whole word.
+#: Names that mark a part as no text, where a whole class, id or role is made of them and of words for boxes.
 NOISE = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
 comment comments disqus respond reply replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social related
 newsletter subscribe subscription signup login popup modal overlay pagination pager widget complementary contentinfo""".split())
+BOXES = frozenset("area bar block box button buttons container group holder inner item items link links list outer panel row section slot thread unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CODE = frozenset("pre code samp kbd".split())
 WHOLE = frozenset(("article", "main"))
 
 
@@ -114,26 +118,76 @@ def parse(html: str) -> Page:
     return page
 
 
-def _words_of(attributes):
+def _values_of(attributes):
     named = {}
     for name, value in _ATTRIBUTE.findall(attributes):
         named.setdefault(name.lower(), value.strip("\"'").lower())
-    words = set()
-    for name in ("class", "id", "role"):
-        words.update(_TOKEN.findall(named.get(name, "")))
-    hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-    return words, hidden
+    return named
 
 
-def _is_boilerplate(tag, attributes, in_article, holds_article):
+def _is_boilerplate(tag, attributes, in_article):
     if tag in ("html", "body", "#page") or tag in WHOLE and not attributes:
         return False
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes:
         return False
-    words, hidden = _words_of(attributes)
-    return hidden or tag not in WHOLE and not holds_article and bool(words & NOISE)
+    named = _values_of(attributes)
+    return "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+
+
+def _is_noise(value):
+    """All words are names of NOISE, box words or numbers: `comments`, `ad-box-2`, not `no-sidebar` or `related-work`."""
+    found = _TOKEN.findall(value)
+    return any(w in NOISE for w in found) and all(w in NOISE or w in BOXES or w.isdigit() for w in found)
+
+
+def _is_named(attributes, in_article, heading):
+    """A class, role or, outside an article, id is a name of no text. An id that repeats the part's heading was made from it."""
+    named = _values_of(attributes)
+    if any(_is_noise(v) for name in ("class", "role") for v in named.get(name, "").split()):
+        return True
+    value = named.get("id", "")
+    return not in_article and _is_noise(value) and _TOKEN.findall(value) != heading()
+
+
+def _headings(page):
+    """Words of each heading, by node."""
+    within, found = [0] * len(page.tag), {}
+    for i in range(1, len(page.tag)):
+        within[i] = i if page.tag[i] in HEADINGS else within[page.parent[i]]
+    for node, _, t in page.pieces:
+        if within[node]:
+            found.setdefault(within[node], []).append(unescape(t).lower())
+    return {i: _TOKEN.findall("".join(t)) for i, t in found.items()}
+
+
+def _spared(page, candidates, in_article, gone):
+    """The candidates to keep: those with at least the unlinked text that is left of what holds them (an article or main, a
+    candidate that was kept, or a page whose articles have no text) once all candidates are taken out of it."""
+    n, parent, tag = len(page.tag), page.parent, page.tag
+    own, linked, holder = [0] * n, [False] * n, [0] * n
+    for i in range(1, n):
+        p = parent[i]
+        linked[i] = linked[p] or tag[i] == "a"
+        holder[i] = p if p in candidates or tag[p] in WHOLE else holder[p]
+    whole = 0
+    for node, _, t in page.pieces:
+        if not gone[node] and not linked[node]:
+            size = len("".join(t.split()))
+            own[node] += size
+            whole += size if in_article[node] or tag[node] in WHOLE else 0
+    for i in range(n - 1, 0, -1):
+        own[parent[i]] += own[i]
+    left = own[:]
+    for i in candidates:
+        left[holder[i]] -= own[i]
+    kept = set()
+    for i in sorted(candidates):
+        at = holder[i]
+        if own[i] and own[i] >= left[at] and (at or not whole):
+            kept.add(i)
+    return kept
 
 
 def main_text(html: str | None) -> str:
@@ -142,13 +196,30 @@ def main_text(html: str | None) -> str:
     page = parse(html)
     n = len(page.tag)
     parent, tag = page.parent, page.tag
-    holds, in_article, gone, linked = [False] * n, [False] * n, [False] * n, [False] * n
+    holds, in_article, gone, linked, code, candidates = [False] * n, [False] * n, [False] * n, [False] * n, [False] * n, set()
+    headings = None
+
+    def heading(i):
+        nonlocal headings
+        if i + 1 == n or parent[i + 1] != i or tag[i + 1] not in HEADINGS:
+            return None
+        headings = _headings(page) if headings is None else headings
+        return headings.get(i + 1)
+
     for i in range(n - 1, 0, -1):
         holds[parent[i]] |= holds[i] or tag[i] in WHOLE
     for i in range(1, n):
         in_article[i] = in_article[parent[i]] or tag[parent[i]] in WHOLE
-        gone[i] = gone[parent[i]] or _is_boilerplate(tag[i], page.attributes[i], in_article[i], holds[i])
+        gone[i] = gone[parent[i]] or _is_boilerplate(tag[i], page.attributes[i], in_article[i])
         linked[i] = linked[parent[i]] or tag[i] == "a"
+        code[i] = code[parent[i]] or tag[i] in CODE
+        named = page.attributes[i] and not (gone[i] or code[i] or holds[i] or tag[i] in HEADINGS or tag[i] in WHOLE or tag[i] in ("html", "body"))
+        if named and _is_named(page.attributes[i], in_article[i], lambda i=i: heading(i)):
+            candidates.add(i)
+    if candidates:
+        candidates -= _spared(page, candidates, in_article, gone)
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[parent[i]] or i in candidates
     pieces = [(node, segment, unescape(t) if "&" in t else t) for node, segment, t in page.pieces if not gone[node]]
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, _, t in pieces:

@@ -231,6 +231,24 @@ def test_html(spark):
     assert {(r["page_id"], r["n_chars"]) for r in rows} == {(1, len(want)), (2, 0), (None, 1)}
 
 
+BODY = "<h1>Title of it</h1><p>" + "Words of text that go on and on. " * 8 + "</p><p>More of the text, as it is.</p>"
+BODY_TEXT = "Title of it\n" + "Words of text that go on and on. " * 7 + "Words of text that go on and on.\nMore of the text, as it is."
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "with-footer", "widget", "content sidebar"])
+def test_html_names_never_take_the_bulk(name):
+    assert html_text.main_text(f'<body><div class="{name}">{BODY}</div><footer>f</footer></body>') == BODY_TEXT
+    assert html_text.main_text(f'<body><article><div class="{name}">{BODY}<div class="ad">Buy</div></div></article></body>') == BODY_TEXT
+
+
+def test_html_names():
+    page = """<article><h1>T</h1><p>aa bb cc dd</p><section id="related-work"><h2>Related work</h2><p>x</p></section><section id="social-impact"><p>y</p></section>
+<h2 id="comments-and-replies">Comments and replies</h2><p>z</p><div class="ad">Buy</div></article><div class="comments"><p>Reader says a lot of things about this.</p></div>"""
+    assert html_text.main_text(page) == "T\naa bb cc dd\nRelated work\nx\ny\nComments and replies\nz"
+    thirds = f'<div class="widget"><div class="ad">Buy</div>{BODY}</div>' * 3
+    assert html_text.main_text(f"<body>{thirds}</body>") == "\n".join([BODY_TEXT] * 3)
+
+
 def test_html_of_the_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         body = re.split(r"</?(?:h1|p)>", re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
