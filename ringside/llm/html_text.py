@@ -9,7 +9,9 @@ much unlinked text as is left in the article or page around it. For every node l
 
 The node with the largest sum of its children's densities is the main one. The smallest density on its path from the body is the
 threshold: parts beside the path count as text if they reach it. A main node inside an article or main element stands for
-all of that element. A list or block made of links alone is a menu wherever it stands.
+all of that element. Outside the main node, and before its text if that is no article or main, a list or block
+of three or more links and nothing else is a menu and no text. A form or menu that holds an article, a main or most of the text
+stays without its controls, and so do other parts that all text of the page is wrapped in (`_spared`).
 
 Text: character references decoded, white space inside a block one space, blocks joined by one line feed in page order.
 
@@ -36,13 +38,16 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: What a start tag closes if it is open: itself or its siblings, up to the named container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROPPED = frozenset("head script style noscript template iframe object svg canvas math form button select textarea input nav aside footer menu dialog audio video".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas form button select textarea input nav aside footer menu dialog audio video".split())
 #: Names that mark a part as no text, where a whole class, id or role is made of them and of words for boxes.
 NOISE = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
 comment comments disqus respond reply replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social related
 newsletter subscribe subscription signup login popup modal overlay pagination pager widget complementary contentinfo""".split())
 BOXES = frozenset("area bar block box button buttons container group holder inner item items link links list outer panel row section slot thread unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of DROPPED that may hold the text of a page; the CLOSED ones, and a header, only with an article or main in it.
+WRAPPERS = frozenset("form menu".split())
+OPEN, CLOSED = WRAPPERS | frozenset("aside dialog".split()), frozenset("canvas footer header nav object".split())
 CODE = frozenset("pre code samp kbd".split())
 WHOLE = frozenset(("article", "main"))
 
@@ -125,12 +130,12 @@ def _values_of(attributes):
     return named
 
 
-def _is_boilerplate(tag, attributes, in_article):
-    if tag in ("html", "body", "#page") or tag in WHOLE and not attributes:
-        return False
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attributes:
+def _is_boilerplate(tag, in_article):
+    return tag in DROPPED or tag == "header" and not in_article
+
+
+def _is_hidden(tag, attributes):
+    if not attributes or tag in ("html", "body"):
         return False
     named = _values_of(attributes)
     return "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
@@ -162,30 +167,34 @@ def _headings(page):
     return {i: _TOKEN.findall("".join(t)) for i, t in found.items()}
 
 
-def _spared(page, candidates, in_article, gone):
+def _spared(page, candidates, holds, in_article, gone):
     """The candidates to keep: those with at least the unlinked text that is left of what holds them (an article or main, a
-    candidate that was kept, or a page whose articles have no text) once all candidates are taken out of it."""
+    candidate that was kept, or a page whose articles have no text) once all candidates are taken out of it.
+
+    A form or menu is kept by this rule whatever articles there are, or if it holds one; a part that holds articles with half of
+    their text counts as if there were no other."""
     n, parent, tag = len(page.tag), page.parent, page.tag
     own, linked, holder = [0] * n, [False] * n, [0] * n
     for i in range(1, n):
         p = parent[i]
         linked[i] = linked[p] or tag[i] == "a"
         holder[i] = p if p in candidates or tag[p] in WHOLE else holder[p]
-    whole = 0
+    free = [0] * n  # of own, what is in an article or main
     for node, _, t in page.pieces:
         if not gone[node] and not linked[node]:
             size = len("".join(t.split()))
             own[node] += size
-            whole += size if in_article[node] or tag[node] in WHOLE else 0
+            free[node] += size if in_article[node] or tag[node] in WHOLE else 0
     for i in range(n - 1, 0, -1):
         own[parent[i]] += own[i]
+        free[parent[i]] += free[i]
     left = own[:]
     for i in candidates:
         left[holder[i]] -= own[i]
     kept = set()
-    for i in sorted(candidates):
-        at = holder[i]
-        if own[i] and own[i] >= left[at] and (at or not whole):
+    for i in candidates:
+        bulk = own[i] and own[i] >= left[holder[i]]
+        if tag[i] in WRAPPERS and (holds[i] or bulk) or bulk and (holder[i] or 2 * free[i] >= free[0]):
             kept.add(i)
     return kept
 
@@ -210,18 +219,20 @@ def main_text(html: str | None) -> str:
         holds[parent[i]] |= holds[i] or tag[i] in WHOLE
     for i in range(1, n):
         in_article[i] = in_article[parent[i]] or tag[parent[i]] in WHOLE
-        gone[i] = gone[parent[i]] or _is_boilerplate(tag[i], page.attributes[i], in_article[i])
+        dropped = _is_boilerplate(tag[i], in_article[i])
+        wraps = dropped and (tag[i] in OPEN or tag[i] in CLOSED and holds[i])
+        gone[i] = gone[parent[i]] or dropped and not wraps or _is_hidden(tag[i], page.attributes[i])
         linked[i] = linked[parent[i]] or tag[i] == "a"
         code[i] = code[parent[i]] or tag[i] in CODE
         named = page.attributes[i] and not (gone[i] or code[i] or holds[i] or tag[i] in HEADINGS or tag[i] in WHOLE or tag[i] in ("html", "body"))
-        if named and _is_named(page.attributes[i], in_article[i], lambda i=i: heading(i)):
+        if not gone[i] and (wraps or named and _is_named(page.attributes[i], in_article[i], lambda i=i: heading(i))):
             candidates.add(i)
     if candidates:
-        candidates -= _spared(page, candidates, in_article, gone)
+        candidates -= _spared(page, candidates, holds, in_article, gone)
         for i in range(1, n):
             gone[i] = gone[i] or gone[parent[i]] or i in candidates
     pieces = [(node, segment, unescape(t) if "&" in t else t) for node, segment, t in page.pieces if not gone[node]]
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+    chars, tags, link_chars, link_tags, links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, _, t in pieces:
         size = len("".join(t.split()))
         chars[node] += size
@@ -234,16 +245,18 @@ def main_text(html: str | None) -> str:
         link_chars[p] += link_chars[i]
         tags[p] += tags[i] + 1
         link_tags[p] += link_tags[i] + linked[i]
-    # Parts that are nothing but links are menus: lists, or blocks of several links.
+        links[p] += links[i] + (tag[i] == "a")
+    # Parts that are nothing but links are menus outside the main node: lists, or blocks of several links.
+    menu = [False] * n
     for i in range(1, n):
-        menu = chars[i] and link_chars[i] >= 0.9 * chars[i] and tag[i] in ("ul", "ol", "div", "section", "dl") and link_tags[i] >= 3
-        gone[i] = gone[i] or gone[parent[i]] or bool(menu)
+        alone = chars[i] and link_chars[i] >= 0.9 * chars[i] and tag[i] in ("ul", "ol", "div", "section", "dl") and links[i] >= 3
+        menu[i] = menu[parent[i]] or bool(alone)
     body = next((i for i in range(1, n) if tag[i] == "body"), 0)
     rate = link_chars[body] / max(1, chars[body])
     density = [0.0] * n
     sums = [0.0] * n
     for i in range(n - 1, -1, -1):
-        if not gone[i] and chars[i]:
+        if not gone[i] and not menu[i] and chars[i]:
             c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
             base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + rate * c + math.e)
             density[i] = c / t * math.log(max(c / lc * t / lt, 1.0) + 1) / math.log(base + 1)
@@ -262,8 +275,10 @@ def main_text(html: str | None) -> str:
         i = parent[i]
     kept = [False] * n
     top = best if whole is None else whole
+    # Without an article or main, the main node may reach over the menus before its text.
+    text_from = 0 if whole is not None else next((node for node, _, t in pieces if node >= top and not menu[node] and not t.isspace()), 0)
     for i in range(n):
-        if gone[i]:
+        if gone[i] or menu[i] and (i < text_from or i != top and not kept[parent[i]]):
             continue
         inside = i and kept[parent[i]]
         beside = whole is None and i not in path and parent[i] in path and i > body and density[i] >= least and link_chars[i] < 0.5 * chars[i]

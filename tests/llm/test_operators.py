@@ -249,6 +249,27 @@ def test_html_names():
     assert html_text.main_text(f"<body>{thirds}</body>") == "\n".join([BODY_TEXT] * 3)
 
 
+@pytest.mark.parametrize("tag", ["form", "aside", "dialog", "menu", "header", "nav", "footer", "object", "canvas"])
+def test_html_wrapped(tag):
+    controls = "<input value=1><button>Go</button><select><option>One</select><textarea>t</textarea>"
+    page = f"<body><{tag}><nav><a href=1>One</a></nav><article>{BODY}{controls}</article><footer>f</footer></{tag}></body>"
+    assert html_text.main_text(page) == BODY_TEXT
+    if tag in ("form", "aside", "dialog", "menu"):
+        assert html_text.main_text(f"<body><{tag}><div>{BODY}</div>{controls}</{tag}><footer>f</footer></body>") == BODY_TEXT
+    small = f"<{tag}><p>Some words of a part beside the text.</p></{tag}>"
+    assert html_text.main_text(f"<body>{small}<article>{BODY}</article>{small}</body>") == BODY_TEXT
+    assert html_text.main_text(f"<body>{small}<div>{BODY}</div>{small}</body>") == BODY_TEXT
+
+
+def test_html_math_and_links():
+    links = "".join(f'<li><a href="{i}"><b>Work</b> <i>{i}</i></a></li>' for i in range(4))
+    shown = "\n".join(f"Work {i}" for i in range(4))
+    page = f"<ul>{links}</ul><article>{BODY}<p>For <math><mi>x</mi><mo>+</mo><mn>1</mn></math>.</p><ol>{links}</ol></article><div>{links}</div>"
+    assert html_text.main_text(f"<body>{page}</body>") == f"{BODY_TEXT}\nFor x+1.\n{shown}"
+    page = f"<ul>{links}</ul><div>{BODY}<ol>{links}</ol></div>"
+    assert html_text.main_text(f"<body>{page}</body>") == f"{BODY_TEXT}\n{shown}"
+
+
 def test_html_of_the_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         body = re.split(r"</?(?:h1|p)>", re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
