@@ -2,8 +2,8 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Base: the places where the words of `BASE` phrases
 stand consecutively. Rules: `NOTICES` (sentences of licence texts) and `NAMED` (names of licences in the forms of
-`FORMS`); each has a label, a priority and a keyword. A text without any word of `GATE` is only counted. In the
-others, rules whose keyword occurs are tried where their first word stands, as a regular expression over the next
+`FORMS`); each has a label, a priority and a keyword. Each rule and base phrase has one or two neighbouring words that any text
+it matches must hold (`gate`, derived from the rules); a text with none of them is only counted. In the others, rules whose keyword occurs are tried where their first word stands, as a regular expression over the next
 `REACH` words. A detection goes if another of higher priority (or the same and longer) contains its interval.
 Everything is computed in a row; there is no shuffle and work is linear in the text.
 
@@ -24,8 +24,7 @@ from ringside.llm import frames
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Without one of these parts a text holds no rule.
-GATE = ["licen", "permission", "redistribut", "rights reserved", "public domain", "spdx", "warrant", "copyleft"]
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Longest rule in words.
 REACH = 16
 
@@ -82,9 +81,8 @@ def _pattern(tokens):
     return "^" + "".join(f"(?: (?:{t[1:]}) )?" if t[0] == "?" else f" (?:{t}) " for t in tokens)
 
 
-def rules():
-    """All rules as (number, first word, keyword, priority, confidence, label, pattern); first words that may be absent or vary give a rule each."""
-    out = []
+def _sentences():
+    """(label, keyword, tokens, priority, confidence) of all rules."""
     sentences = [(label, key, _tokens(text), rank, sure) for label, key, text, rank, sure in NOTICES]
     for label, key, name in NAMED:
         for before, after, rank, sure in FORMS:
@@ -92,7 +90,30 @@ def rules():
             # A name that says "license" itself needs no second one.
             closing = [f"?{after.lstrip('?')}"] if after and "license" in name else _tokens(after)
             sentences.append((label, key, _tokens(before) + tail + closing, rank + min(9, len(tail)), sure))
-    for label, key, tokens, rank, sure in sentences:
+    return sentences
+
+
+def _needed(key, tokens):
+    """Words that a match of these tokens must hold, next to each other: a word like "license", the keyword and a
+    neighbour, or the first two; else the keyword alone, which any text of the rule must hold."""
+    for t in tokens:
+        if all(w.startswith("licen") for w in t.split("|")):
+            return (t,)
+    pairs = [p for p in zip(tokens, tokens[1:], strict=False) if not any(t[0] == "?" for t in p)]
+    return next((p for p in reversed(pairs) if key in p), pairs[0] if pairs else (key,))
+
+
+def gate():
+    """A regular expression that finds something in every lower-cased text that a rule or base phrase matches."""
+    needed = {_needed(key, tokens) for _, key, tokens, _, _ in _sentences()} | {_needed("license", phrase.split()) for phrase, _ in BASE}
+    words = "|".join(sorted(f"{_BETWEEN}+".join(f"(?:{t})" for t in words) for words in needed))
+    return rf"(?:^|{_BETWEEN})(?:{words})(?:{_BETWEEN}|$)"
+
+
+def rules():
+    """All rules as (number, first word, keyword, priority, confidence, label, pattern); first words that may be absent or vary give a rule each."""
+    out = []
+    for label, key, tokens, rank, sure in _sentences():
         for first in tokens[0].lstrip("?").split("|"):
             out.append((len(out), first, key, rank, sure, label, _pattern([first, *tokens[1:]])))
     return out
@@ -164,11 +185,9 @@ _NONE = "cast(named_struct('base', array(), 'found', array()) as struct<base:arr
 def scanned(docs: DataFrame) -> DataFrame:
     """`docs` with _n_words and _scan: base (start, label) and found (start, end, rank, sure, label)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    gate = F.lit(False)
-    for part in GATE:
-        gate = gate | F.contains(F.lower(text), F.lit(part))
-    words = F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
-    scan = F.when(gate, _let(words, lambda w: F.struct(_base(w).alias("base"), _found(w).alias("found"))))
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    scan = F.when(F.rlike(low, F.lit(gate())), _let(words, lambda w: F.struct(_base(w).alias("base"), _found(w).alias("found"))))
     return docs.withColumn("_n_words", F.regexp_count(text, F.lit(_WORD_ANY_CASE)).cast("long")).withColumn("_scan", F.coalesce(scan, F.expr(_NONE)))
 
 

@@ -118,6 +118,25 @@ def test_license_awkward(awkward, spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_license_gate_passes_every_rule(spark):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["Released under the GPL", "covered by the gpl.", "subject to the terms of the GPL", "altered source versions must be plainly marked as such", "This is free and unencumbered software",
+             "Unauthorized copying of this file", "neither the name of x may endorse", "all rights\nreserved", "in the public\tdomain", "released under mit", "apache 2.0", "spdx", "", "public version of the gnu"]
+    for _, key, tokens, _, _ in license_scan._sentences():
+        for extra in (False, True):  # without and with the words that may be absent
+            w = [t.lstrip("?").split("|")[-1 if extra else 0] for t in tokens if extra or t[0] != "?"]
+            texts.append("\n".join(w).upper() + ("" if key in w else f" {key}"))
+    rows = list(enumerate(texts))
+    assert any("licen" not in t for t in texts[14:])
+    got = {r["doc_id"]: r for r in license_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["labels"] for i in range(11)) and not any(got[i]["labels"] for i in range(11, 14)) and all(got[i]["labels"] for i in range(14, len(rows)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(license_scan.ORACLE_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(got[i]) for i in got)
+
+
 def brute_hits(text, items):
     w = alnum(text)
     hit, found = set(), set()
