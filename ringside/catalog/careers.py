@@ -148,8 +148,7 @@ def match_durations(ev):
 
 @on_matches("session_blocks")
 def session_blocks(ev):
-    rows, events = both(ev)
-    return h.session_blocks(r.per_match(events), rows)
+    return h.session_blocks(r.per_match(ev), h.sessions(side.jobs(ev), ev))
 
 
 @on_matches("session_block_headers", f"""WITH {SESSIONS} SELECT user_id, session, 'SESSION ' || session || ' (' || strftime(first_ts, '%Y-%m-%d') || ', ' || matches_in_session || CASE matches_in_session WHEN 1 THEN ' match' ELSE ' matches' END || ', job ' || job_id || '):' AS header FROM ses""")

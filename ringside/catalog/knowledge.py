@@ -141,7 +141,7 @@ def merge_meta(spark, sf_dir):
 def meta_context(spark, sf_dir):
     ev = match_events(spark, sf_dir)
     rules = spark.createDataFrame([("VGC", 2, 4, 6, ["mega", "terastallization_no"])], "format_name string, active_per_side int, bring_count int, team_size int, legal_mechanics array<string>")
-    usage = m.usage_stats(_usage_texts(ev), ["source"]).where("source = 0")
+    usage = m.usage_stats(_usage_texts(ev.withColumn("match", F.lit(0))), ["source"])  # one table over all matches
     return m.meta_context(rules, r.worst_matchups(r.per_match(ev), ["user_id"]), usage, ["user_id"])
 
 
