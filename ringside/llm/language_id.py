@@ -8,7 +8,7 @@ reach, less a margin (`REJECT_SHARE`, `REJECT_SLACK`), or when it has no letter.
 
 Learning: documents whose fold is not 0 and whose lang is not null. lang, source and doc_id take no part in a
 prediction. Document frequencies cover all learning documents; the sample holds about `SAMPLE` documents, shared
-equally by languages and chosen by a hash of the text.
+equally by languages and chosen by a hash of the text, at a rate by the distinct texts of a language.
 
 Edge cases: null text, or no letter: `und`, score 0, rejected. Fewer than three bytes or no known trigram: the
 language with the most learning documents, score 0, not rejected (too short to reject). No learning document at all: every text is
@@ -92,15 +92,17 @@ def spherical_kmeans(x, k, rng, rounds=12):
 def fit(docs: DataFrame):
     """The model, from doc_id, text and lang of the learning documents."""
     learn = docs.select("doc_id", "text", "lang").filter(~frames.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_lang = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    # The sample draws texts by hash, so its rate goes by distinct texts: copies must not thin it out.
+    counted = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("text", F.lit(6))).alias("texts")).collect()
+    per_lang = {r["lang"]: r["n"] for r in counted}
     if not per_lang:
         return None
     n, df = _frequencies(learn)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
     share = SAMPLE / len(per_lang)
     limit = F.lit(0.0)
-    for lang, count in per_lang.items():
-        limit = F.when(F.col("lang") == lang, min(1.0, share / count)).otherwise(limit)
+    for r in counted:
+        limit = F.when(F.col("lang") == r["lang"], min(1.0, share / r["texts"])).otherwise(limit)
     drawn = (F.xxhash64("text", F.lit(6)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < limit
     weights = docs.sparkSession.sparkContext.broadcast(idf)
 

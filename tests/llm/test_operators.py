@@ -223,6 +223,13 @@ def test_language(spark, awkward):
     assert language_id.labelled(empty, language_id.fit(empty)).count() == 0
 
 
+def test_language_of_copies_keeps_centroids(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    rows = [(i, "der hund und die katze gehen nicht aus", "de") for i in range(2000)] + [(i, f"the dog and cat number {i} go out", "en") for i in range(2000, 2100)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model["langs"]) == {"de", "en"}
+
+
 def test_language_ignores_lang_and_source(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs)
