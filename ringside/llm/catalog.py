@@ -3,7 +3,8 @@
 import importlib
 
 #: Module of each numbered operator; `op<N>_...` in it is its query, `ORACLE_SQL` its SQL where there is one.
-OPERATORS = ["license_scan", "decontaminate", "quality", "html_text", "mixing", "language_id", "toxicity", "jaccard_join", "chat_format", "nearest"]
+OPERATORS = ["license_scan", "decontaminate", "quality", "html_text", "mixing", "language_id", "toxicity", "jaccard_join", "chat_format", "nearest",
+             "whitening", "hard_negatives", "packing"]
 
 
 def load():

@@ -4,6 +4,7 @@ import os
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +108,21 @@ def emitted(df: DataFrame, make, schema: str) -> DataFrame:
             yield batch_of(columns)
 
     return _map(df, run, struct)
+
+
+def whole(rows: DataFrame, vector: str):
+    """Whether the vector is there and all its entries are finite numbers."""
+    v = F.col(vector)
+    if rows.schema[vector].dataType.elementType.typeName() not in ("float", "double"):
+        v = v.cast("array<double>")
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
+def matrices(column):
+    """(row numbers, matrix of doubles) for each length of vector in an Arrow list column without nulls."""
+    offsets = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    lengths = np.diff(offsets)
+    for d in np.unique(lengths):
+        rows = np.flatnonzero(lengths == d)
+        yield rows, flat[offsets[rows][:, None] + np.arange(d)].astype(np.float64)
