@@ -1,5 +1,6 @@
 """Queries over replay logs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ringside.catalog.cleaning import LEGAL
@@ -51,6 +52,23 @@ def active_slot(ev):
     return rows.select("replay_id", "slot", F.col("args")[1].alias("move"), "before", "nickname")
 
 
+@on_matches("illusion_fix", f"""WITH {_ACT},
+z AS (SELECT *, left(slot, 2) side, max(CASE WHEN event = 'pokemon_sent_out' THEN pos END) OVER (PARTITION BY rid, slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) since FROM y),
+c AS (SELECT rid, side, since, pos AS "at", held decoy, pokemon "real" FROM z WHERE event = 'pokemon_sent_out' AND k % 4 = 3 AND held <> '' AND held <> pokemon AND since IS NOT NULL),
+m AS (SELECT rid, side, pos, held AS name, row_number() OVER (PARTITION BY rid ORDER BY pos) n FROM z WHERE event = 'move_used' AND held <> ''),
+j AS (SELECT m.rid, m.n, m.name, list({{{{'at': c."at", 'decoy': c.decoy, 'real': c."real"}}}} ORDER BY c."at") FILTER (c."at" IS NOT NULL) q
+  FROM m LEFT JOIN c ON m.rid = c.rid AND m.side = c.side AND c.since <= m.pos AND m.pos < c."at" GROUP BY ALL),
+k1 AS (SELECT *, CASE WHEN q[1].decoy = name THEN q[1]."real" ELSE name END n1 FROM j)
+SELECT rid AS replay_id, n::INT AS n, name AS shown, CASE WHEN q[2].decoy = n1 THEN q[2]."real" ELSE n1 END AS pokemon FROM k1""")
+def illusion_fix(ev):
+    """Every move with the species shown and the one behind it; most replace lines of the bridge end a decoy's stay."""
+    slots = p.active_slot(lines_of(ev))
+    shown = p.slot_events(slots)
+    fixed = p.illusion_fix(shown, slots).where("event = 'move_used' and before is not null")
+    upto = Window.partitionBy("replay_id").orderBy("line_no")  # a log of the bridge has 40 events
+    return fixed.select("replay_id", F.row_number().over(upto).alias("n"), F.col("before").alias("shown"), "pokemon")
+
+
 @on_matches("field_conditions", f"""WITH s AS (SELECT *, job_id || '/' || match rid, {_SIDE} ps FROM ev WHERE event = 'field_state'),
 c AS (SELECT rid, ps, cast(floor(pos / 5) + 1 AS INT) turn,
   last_value(CASE k % 5 WHEN 1 THEN 'rain' WHEN 2 THEN 'none' END IGNORE NULLS) OVER w weather, last_value(CASE k % 7 WHEN 0 THEN true WHEN 1 THEN false END IGNORE NULLS) OVER w room,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ringside.contracts import KEY, SIDES
 from ringside.functions import columns as c
 from ringside.functions import fixed_values as fixed
+from ringside.operators.turns import pairs_of
 from ringside.plans.folds import fold
 from ringside.plans.scan import count_of, last_of, null_safe, scan, sum_of
 
@@ -106,6 +107,15 @@ def _board_changes(events, order):
     return rows.where(F.col("shown").isNotNull() | F.col("came").isNotNull())
 
 
+def _boards_of(rows, keys):
+    """All boards that a stretch can show: up to two of its species, or the list that opens it."""
+    listed = rows.where("reset").select(*keys, F.col("mons").alias("state"))
+    pairs = pairs_of(rows, keys, F.explode("mons"))
+    few = pairs.select(*[F.col(k).alias(f"_l{j}") for j, k in enumerate(keys)]).distinct()
+    listed = listed.join(few, null_safe(listed, few, [(k, f"_l{j}") for j, k in enumerate(keys)]), "left_semi")
+    return pairs.unionByName(listed)
+
+
 def boards_by_event(events: DataFrame, order="event_idx", width=None) -> DataFrame:
     """Species on the field after every event, per side."""
     keys = [*KEY, "side"]
@@ -136,7 +146,7 @@ def boards_by_event(events: DataFrame, order="event_idx", width=None) -> DataFra
         return F.struct(now.alias("state"), F.transform(now, lambda y: y["name"]).alias("out"))
 
     folded = fold(rows, [*keys, "stretch"], order, ["reset", "mons"], F.array(), step,
-                  "array<struct<name:string,out:bigint>>", _NAMES, width)
+                  "array<struct<name:string,out:bigint>>", _NAMES, width, lambda long: _boards_of(long, [*keys, "stretch"]))
     out = events.select(*KEY, order)
     for s in SIDES:
         mine = folded.where(F.col("side") == s).select(

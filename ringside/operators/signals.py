@@ -8,6 +8,7 @@ from ringside.functions import columns as c
 from ringside.operators.record import top_n
 from ringside.operators.teams import default_dex, narrow_species_by_types
 from ringside.plans.folds import fold
+from ringside.plans.jumps import chained
 from ringside.plans.nearest import around, attach, best_within
 from ringside.plans.ordering import sorted_index
 from ringside.plans.scan import count_of, last_of, max_of, scan
@@ -60,15 +61,17 @@ def dedupe_vectors(frames: DataFrame, keys, order, vector, threshold=2.0, width=
 
 
 def activity_windows(signals: DataFrame, keys, time="t", span=4.0, motion=6.0, dark=20.0, width=None) -> DataFrame:
-    """Windows that start at a sample and end at the first sample `span` later, with mean motion and brightness."""
-    rows = sorted_index(signals.select(*keys, F.col(time).alias("t"), "motion", "brightness"), [*keys, "t"])
+    """Windows that start at a sample and end at the first sample `span` later, with mean motion and brightness.
 
-    def step(start, row):
-        opened = F.when(start.isNull() | (row["t"] - start >= span), row["t"]).otherwise(start)
-        return F.struct(opened.alias("state"), opened.alias("out"))
-
-    opened = fold(rows, keys, "_seq", ["t"], F.lit(None), step, "double", "double", width)
-    tagged = rows.join(opened.withColumnRenamed("out", "start"), [*keys, "_seq"])
+    A sample without time is in no window. `span` is positive.
+    """
+    if span <= 0:
+        raise ValueError("span must be positive")
+    timed = signals.where(F.col(time).isNotNull())
+    rows = sorted_index(timed.select(*keys, F.col(time).cast("double").alias("t"), "motion", "brightness"), [*keys, "t"])
+    starts, _ = chained(rows, keys, "t", span, width=width)
+    opened = rows.join(starts.withColumn("_opens", F.lit(True)), "_seq", "left")
+    tagged = scan(opened, keys, "_seq", {"start": last_of(F.when(F.col("_opens"), F.col("t")))}).drop("_opens")
     sums = tagged.groupBy(*keys, "start").agg(
         F.avg("motion").alias("motion"), F.avg("brightness").alias("brightness"), F.min("_seq").alias("_seq"))
     first = rows.groupBy(*keys).agg(F.max("t").alias("_last"), F.min("t").alias("_t0"), F.count(F.lit(1)).alias("_n"))

@@ -15,13 +15,15 @@ from ringside.contracts import KEY, SIDES
 from ringside.functions import columns as c
 from ringside.plans.folds import fold
 from ringside.plans.ordering import materialise
-from ringside.plans.scan import count_of, last_of, scan, sum_of
+from ringside.plans.scan import count_of, last_of, null_safe, scan, sum_of
 
 SLIM = [
     "event_idx", "event", "actor", "pokemon", "move", "detail", "hp_percent", "turn", "tailwind", "trick_room",
     "weather", "terrain", "screens", "player_active", "opponent_active", "player_team", "opponent_team",
     "player_brought", "opponent_brought",
 ]
+#: Species of one side and stretch up to which boards are listed: a roster has 6, misreadings add some.
+TABLED_SPECIES = 20
 CONDITIONS = ["tailwind", "trick_room", "weather", "terrain", "screens"]
 
 
@@ -92,6 +94,18 @@ def roster_slots(t: Turns) -> DataFrame:
     return slots.join(fallen.agg(F.min("turn").alias("faint_turn")), [*KEY, "side", "species"], "left")
 
 
+def pairs_of(rows: DataFrame, keys, mons) -> DataFrame:
+    """(keys, state): every board of up to two of a group's species, in either order, for groups with few species."""
+    seen = rows.select(*keys, mons.alias("x")).distinct()
+    few = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") <= TABLED_SPECIES)
+    few = few.select(*[F.col(k).alias(f"_f{j}") for j, k in enumerate(keys)])
+    seen = seen.join(few, null_safe(seen, few, [(k, f"_f{j}") for j, k in enumerate(keys)]), "left_semi")
+    xs = seen.groupBy(*keys).agg(F.collect_set("x").alias("xs"))  # at most TABLED_SPECIES
+    two = F.flatten(F.transform("xs", lambda x: F.transform("xs", lambda y: F.array(x, y))))
+    boards = F.concat(F.array(F.slice("xs", 1, 0)), F.transform("xs", lambda x: F.array(x)), two)
+    return xs.select(*keys, F.explode(boards).alias("state"))
+
+
 def board(t: Turns, width=None) -> DataFrame:
     """Species on the field per turn and side, as of the start of the turn.
 
@@ -142,7 +156,9 @@ def board(t: Turns, width=None) -> DataFrame:
         capped = F.aggregate(surplus, extended, drop_one)
         return F.struct(capped.alias("state"), F.transform(now, lambda y: y["name"]).alias("out"))
 
-    folded = fold(rows, [*keys, "stretch"], "turn", ["shown", "arrived"], F.array(), step, mon, "array<string>", width)
+    mons = F.explode(F.array_union(F.col("shown"), F.col("arrived")))
+    folded = fold(rows, [*keys, "stretch"], "turn", ["shown", "arrived"], F.array(), step, mon, "array<string>", width,
+                  lambda long: pairs_of(long, [*keys, "stretch"], mons))
     return folded.select(*keys, "turn", F.col("out").alias("board"))
 
 

@@ -1,5 +1,7 @@
 """Exact order numbers for groups of any length, and lineage cuts that survive lost executors."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,18 +9,21 @@ from ringside.plans.scan import count_of, scan
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and read it back.
+    """Write `df` as Parquet to the cluster's checkpoint folder and read it back; files go when the driver's JVM ends.
 
-    The folder is the session's `spark.checkpoint.dir` or the context's own checkpoint folder.
+    The folder is the session's `spark.checkpoint.dir` or the context's own checkpoint folder. Read from files, a table keeps
+    its size for the choice of joins and is read by column.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    path = f"{folder.rstrip('/')}/ringside-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sorted_index(df: DataFrame, columns, name="_seq") -> DataFrame:
