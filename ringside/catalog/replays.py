@@ -56,7 +56,7 @@ def active_slot(ev):
 z AS (SELECT *, left(slot, 2) side, max(CASE WHEN event = 'pokemon_sent_out' THEN pos END) OVER (PARTITION BY rid, slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) since FROM y),
 c AS (SELECT rid, side, since, pos AS "at", held decoy, pokemon "real" FROM z WHERE event = 'pokemon_sent_out' AND k % 4 = 3 AND held <> '' AND held <> pokemon AND since IS NOT NULL),
 m AS (SELECT rid, side, pos, held AS name, row_number() OVER (PARTITION BY rid ORDER BY pos) n FROM z WHERE event = 'move_used' AND held <> ''),
-j AS (SELECT m.rid, m.n, m.name, list({{{{'at': c."at", 'decoy': c.decoy, 'real': c."real"}}}} ORDER BY c."at") FILTER (c."at" IS NOT NULL) q
+j AS (SELECT m.rid, m.n, m.name, list(struct_pack("at" := c."at", decoy := c.decoy, "real" := c."real") ORDER BY c."at") FILTER (c."at" IS NOT NULL) q
   FROM m LEFT JOIN c ON m.rid = c.rid AND m.side = c.side AND c.since <= m.pos AND m.pos < c."at" GROUP BY ALL),
 k1 AS (SELECT *, CASE WHEN q[1].decoy = name THEN q[1]."real" ELSE name END n1 FROM j)
 SELECT rid AS replay_id, n::INT AS n, name AS shown, CASE WHEN q[2].decoy = n1 THEN q[2]."real" ELSE n1 END AS pokemon FROM k1""")

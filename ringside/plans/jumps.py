@@ -26,27 +26,29 @@ def reachable(nodes: DataFrame, width=None):
     chunked = nodes.select("at", "to", "root", F.expr(f"at div {width}").alias("_chunk"))
     item = F.sort_array(F.collect_list(F.struct("at", "to", "root")))  # at most `width` rows
     chunks = chunked.groupBy("_chunk").agg(item.alias("_rows"))
-    last = F.col("_rows")[F.size("_rows") - 1]["at"]
+    first, last = F.col("_rows")[0]["at"], F.col("_rows")[F.size("_rows") - 1]["at"]
 
-    def leave(later, row):
-        inside = F.element_at(later, (row["to"] - row["at"]).cast("int"))
-        way = F.when(row["to"].isNull() | (row["to"] > last), row["to"]).otherwise(inside)
-        return F.concat(F.array(way), later)
+    def twice(ways, _):
+        return F.transform(ways, lambda to: F.when(to.isNull() | (to > last), to).otherwise(F.element_at(ways, (to - first + 1).cast("int"))))
 
-    exits = F.aggregate(F.reverse("_rows"), F.array().cast("array<bigint>"), leave)
+    exits = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, (width - 1).bit_length()))), F.col("_rows.to"), twice)
     chunks = materialise(chunks.withColumn("_exit", exits))
     leaving = chunks.select(F.inline(F.arrays_zip(
         F.col("_rows.at").alias("at"), F.col("_rows.root").alias("root"), F.col("_exit").alias("to")))).where("to is not null")
     leaving = materialise(leaving)
-    reached = leaving.where("root").select(F.col("to").alias("at")).distinct()
     entries = leaving.select(F.col("to").alias("at")).distinct()
-    jumps = materialise(leaving.join(entries, "at", "left_semi").select("at", "to"))
+    # One table a round: the rows reached so far (`to` is null) and the jumps, twice as long as the round before.
+    known = materialise(leaving.where("root").select(F.col("to").alias("at"), F.lit(None).cast("bigint").alias("to")).distinct().unionByName(
+        leaving.join(entries, "at", "left_semi").select("at", "to")))
     rounds = 0
-    while not jumps.isEmpty():
+    while not known.where("to is not null").isEmpty():
         rounds += 1
+        reached, jumps = known.where("to is null"), known.where("to is not null")
         onward = jumps.select(F.col("at").alias("to"), F.col("to").alias("_beyond"))
-        reached = materialise(reached.unionByName(reached.join(jumps, "at").select(F.col("to").alias("at"))).distinct())
-        jumps = materialise(jumps.join(onward, "to").select("at", F.col("_beyond").alias("to")))
+        more = reached.select("at").join(jumps, "at").select(F.col("to").alias("at"), F.lit(None).cast("bigint").alias("to"))
+        known = materialise(reached.unionByName(more).distinct().unionByName(
+            jumps.join(onward, "to").select("at", F.col("_beyond").alias("to"))))
+    reached = known.select("at")
 
     entered = reached.groupBy(F.expr(f"at div {width}").alias("_chunk")).agg(F.collect_set("at").alias("_in"))
     none = F.array().cast("array<bigint>")

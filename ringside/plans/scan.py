@@ -3,7 +3,8 @@
 A plain window sends a whole group to one task. Here a group is cut into
 chunks of `width` consecutive order values, each chunk is scanned on its own,
 and what earlier chunks leave behind is carried in from a table with one row
-per chunk. The order column must be a non-negative integer with few rows per
+per chunk. Both read one exchange of the input, so scans over scans do not
+multiply the work below them. The order column must be a non-negative integer with few rows per
 value (an array position, a turn number, a `sorted_index`).
 """
 
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCAN_WIDTH = 1 << 16
 
@@ -77,6 +79,14 @@ def _chunk_total(kind, value, order, reverse):
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value)
 
 
+def _hashable(kind) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def null_safe(left, right, pairs):
     """AND of null-safe equalities over (left name, right name) pairs."""
     condition = None
@@ -95,18 +105,23 @@ def scan(df: DataFrame, keys, order, runs, width=None, reverse=False) -> DataFra
     chunked = chunked.withColumns({f"_v{i}": runs[n].value for i, n in enumerate(names)})
 
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
+    # One exchange serves both the running values and the totals. It is shared only if both ask for the same columns, so
+    # both depend on a hash of all of them, of which no bit is kept.
+    chunked = chunked.repartition(*keys, "_chunk")
+    whole = F.xxhash64(*chunked.columns).bitwiseAND(F.lit(0)) if _hashable(df.schema) else F.lit(0).cast("bigint")
+
     local_order = Window.partitionBy(*keys, "_chunk").orderBy(direction(order))
     upto = local_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = local_order.rowsBetween(Window.unboundedPreceding, -1)
     local = chunked.withColumns({
         f"_l{i}": _WINDOWED[runs[n].kind](F.col(f"_v{i}")).over(upto if runs[n].inclusive else before)
         for i, n in enumerate(names)
-    })
+    }).withColumn("_lc", F.col("_chunk") + whole)
 
     totals = chunked.groupBy(*keys, "_chunk").agg(*[
         _chunk_total(runs[n].kind, F.col(f"_v{i}"), order, reverse).alias(f"_t{i}")
         for i, n in enumerate(names)
-    ])
+    ], F.max(whole).alias("_whole"))
     by_chunk = Window.partitionBy(*keys).orderBy(direction("_chunk"))
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_seen", F.lag("_chunk").over(by_chunk))
@@ -115,11 +130,11 @@ def scan(df: DataFrame, keys, order, runs, width=None, reverse=False) -> DataFra
     })
     carried = carried.where(F.col("_seen").isNotNull()).select(
         *[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)],
-        F.col("_chunk").alias("_kc"),
+        (F.col("_chunk") + F.col("_whole")).alias("_kc"),
         *[f"_c{i}" for i in range(len(names))],
     )
 
-    pairs = [(k, f"_k{j}") for j, k in enumerate(keys)] + [("_chunk", "_kc")]
+    pairs = [(k, f"_k{j}") for j, k in enumerate(keys)] + [("_lc", "_kc")]
     joined = local.join(carried, null_safe(local, carried, pairs), "left")
     untouched = [c for c in df.columns if c not in runs]
     return joined.select(

@@ -97,3 +97,21 @@ def test_nearest_and_best_within(spark):
         assert (rows[i]["after"]["t"] if rows[i]["after"] else None) == (min(after) if after else None)
         near = [(x[4], x[2]) for x in mine if abs(x[1] - t) <= 1.5 + 1e-9]
         assert (tuple(tops[i]["best"]) if tops[i]["best"] else None) == (max(near) if near else None)
+
+
+def test_scans_read_their_input_once(spark):
+    """Running values and chunk totals share one exchange, also where a scan reads a scan and columns are dropped."""
+    read = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        read.add(1)
+        return i % 3, i, i * 2
+
+    df = spark.createDataFrame(spark.sparkContext.range(0, 1000, numSlices=4).map(row), "k long, i long, v long")
+    for width in (50, None):
+        for narrow in (True, False):
+            before = read.value
+            once = scan(df, ["k"], "i", {"n": count_of()}, width=width)
+            twice = scan(once, ["k"], "i", {"s": sum_of(F.col("n"))}, width=width, reverse=True)
+            out = (twice.select("s") if narrow else twice).collect()
+            assert len(out) == 1000 and read.value - before == 1000
