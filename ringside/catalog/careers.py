@@ -14,7 +14,7 @@ from ringside.plans import jobs as side
 SESSIONS = f"""
 jobs AS ({side.JOBS_SQL.strip()}),
 ranked AS (SELECT *, cast(row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', first_ts), job_id) AS INT) session FROM jobs WHERE status = 'done'),
-kept AS (SELECT * FROM ev WHERE job_no % 5 <> 3),
+kept AS (SELECT * FROM ev),
 ses AS (SELECT r.user_id, r.session, r.job_id, r.first_ts, n.n matches_in_session FROM ranked r JOIN (SELECT job_id, count(DISTINCT match) n FROM kept GROUP BY 1) n USING (job_id)),
 gm AS (SELECT user_id, session, job_id, match, cast(row_number() OVER (PARTITION BY user_id ORDER BY session, match) AS INT) global_match
   FROM (SELECT DISTINCT s.user_id, s.session, s.job_id, k.match FROM ses s JOIN kept k USING (job_id)))
@@ -22,8 +22,7 @@ gm AS (SELECT user_id, session, job_id, match, cast(row_number() OVER (PARTITION
 
 
 def both(ev):
-    events = side.with_events(ev)
-    return h.sessions(side.jobs(ev), events), events
+    return h.sessions(side.jobs(ev), ev), ev
 
 
 @on_matches("completed_jobs", f"WITH {SESSIONS} SELECT user_id, job_id, source_type, epoch(date_trunc('second', first_ts))::DOUBLE AS created_ts FROM jobs WHERE status = 'done'")
@@ -128,14 +127,14 @@ _RATE = """{n}r AS (SELECT u AS user_id, cast(coalesce(round_even(100.0 * count(
 
 
 @on_matches("period_compare", f"WITH {PM}, jobs AS ({side.JOBS_SQL.strip()}), "
-            + _period("a", "job_no % 2 = 1") + ", " + _period("b", "job_no % 2 = 0 AND job_no % 20 <> 4") + ", "
+            + _period("a", "job_no % 2 = 1 AND u <> 'u3'") + ", " + _period("b", "job_no % 2 = 0 OR u = 'u3'") + ", "
             + _figures("a") + ", " + _figures("b") + ", " + _RATE.format(n="a") + ", " + _RATE.format(n="b") + """
 SELECT user_id, """ + ", ".join(f"cast(round_even(x.{m} - y.{m}, 1) AS DOUBLE) AS {m}_delta" for m in ("win_rate", "overall", "tempo", "adaptability", "execution", "closing")) + """
 FROM (SELECT * FROM ar LEFT JOIN a_scores USING (user_id)) x FULL JOIN (SELECT * FROM br LEFT JOIN b_scores USING (user_id)) y USING (user_id)""")
 def period_compare(ev):
-    """Odd uploads against even ones; some users lack one side."""
-    first = r.per_match(ev.where("job_no % 2 = 1"))
-    second = r.per_match(ev.where("job_no % 2 = 0 and job_no % 20 <> 4"))
+    """Odd uploads against even ones; all uploads of one user are on the second side."""
+    first = r.per_match(ev.where("job_no % 2 = 1 and user_id <> 'u3'"))
+    second = r.per_match(ev.where("job_no % 2 = 0 or user_id = 'u3'"))
     return h.period_compare(first, second)
 
 

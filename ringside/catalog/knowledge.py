@@ -165,10 +165,10 @@ def share_links_list(spark, sf_dir):
 
 
 def _students(spark, sf_dir):
-    return read(spark, sf_dir, "customer").selectExpr("c_nationkey as coach_user_id", "'u' || cast(c_custkey % 14 as string) as player_user_id", "c_custkey as added_at").where("added_at % 3 = 0").dropDuplicates(["coach_user_id", "player_user_id"])
+    return read(spark, sf_dir, "customer").selectExpr("c_nationkey as coach_user_id", "'u' || cast(c_custkey % 14 as string) as player_user_id", "c_custkey as added_at").dropDuplicates(["coach_user_id", "player_user_id"])
 
 
-_ST = "st AS (SELECT DISTINCT c_nationkey coach, 'u' || c_custkey % 14 player FROM customer WHERE c_custkey % 3 = 0)"
+_ST = "st AS (SELECT DISTINCT c_nationkey coach, 'u' || c_custkey % 14 player FROM customer)"
 
 
 @query("students_list", f"WITH {_ST} SELECT coach AS coach_user_id, player AS player_user_id FROM st WHERE coach = 7")
@@ -196,7 +196,7 @@ def notes_about(spark, sf_dir):
     return co.notes_about(_notes(spark, sf_dir), "u3").select("id", "coach_user_id")
 
 
-@query("student_profiles", f"""WITH {PM}, {SESSIONS}, {_ST}, k AS (SELECT pm.* FROM pm JOIN jobs ON jobs.job_id = pm.j WHERE jobs.job_no % 5 <> 3),
+@query("student_profiles", f"""WITH {PM}, {SESSIONS}, {_ST}, k AS (SELECT pm.* FROM pm JOIN jobs ON jobs.job_id = pm.j),
 rec AS (SELECT u, count(*) FILTER (WHERE winner <> 'unknown') matches, count(*) FILTER (WHERE won) wins, count(*) FILTER (WHERE winner = 'opponent') losses
   FROM k WHERE winner <> 'unknown' OR len(p_brought) > 0 GROUP BY u), sn AS (SELECT user_id, count(*) n FROM ses GROUP BY 1)
 SELECT coach AS coach_user_id, u AS user_id, matches, wins, losses, coalesce(sn.n, 0) AS sessions_count FROM st JOIN rec ON rec.u = st.player LEFT JOIN sn ON sn.user_id = u""")

@@ -313,11 +313,12 @@ def failure_runs(ev):
 
 
 @on_matches("segment_by_marker", """
-SELECT user_id_text AS user_id, job_id, event_idx, cast(greatest(1, count(*) FILTER (WHERE event = 'team_preview')
-  OVER (PARTITION BY job_id ORDER BY event_idx)) AS INT) AS match FROM {ev} WHERE event_idx >= 7""")
+SELECT user_id_text AS user_id, job_id, event_idx, cast(greatest(1, count(*) FILTER (WHERE event = 'team_preview' AND event_idx >= 7)
+  OVER (PARTITION BY job_id ORDER BY event_idx)) AS INT) AS match FROM {ev}""")
 def segment_by_marker(ev):
-    """Match numbers found again from the previews alone; the first upload rows have none before them."""
-    return r.segment_by_marker(ev.where("event_idx >= 7").drop("match")).select(*JOB, "event_idx", "match")
+    """Match numbers found again from the previews alone; the first preview of an upload went unread."""
+    unread = (F.col("event") == "team_preview") & (F.col("event_idx") < 7)
+    return r.segment_by_marker(ev.withColumn("event", F.when(unread, "unread").otherwise(F.col("event"))).drop("match")).select(*JOB, "event_idx", "match")
 
 
 _JOBTIME = "SELECT *, (event_idx * 5 - match * 20)::DOUBLE t FROM {ev}"
@@ -350,4 +351,5 @@ SELECT u AS user_id, j AS job_id, coalesce(t, st) AS timestamp, CASE WHEN t IS N
   CASE WHEN t IS NULL THEN '(no end-of-match screen captured)' ELSE d END AS detail FROM e""")
 def matches_from_previews(ev):
     timed = ev.withColumn("timestamp", F.col("event_idx") * 5.0)
-    return r.matches_from_previews(timed.where("event <> 'battle_end' or k % 8 <> 0"))
+    unread = (F.col("event") == "battle_end") & (F.col("k") % 8 == 0)
+    return r.matches_from_previews(timed.withColumn("event", F.when(unread, "unread").otherwise(F.col("event"))))
