@@ -1,17 +1,16 @@
 """4. HTML extraction: composite text density over the DOM, the subtree with the largest sum of child densities.
 
 `parse` reads a page in one pass into flat lists (no recursion), closing what HTML lets authors leave open. Scripts, styles,
-forms, menus, page headers and footers and sidebars are taken out (`_is_boilerplate`), and so are small parts whose class, id
-or role is the name of an advert, notice, comment thread and so on (`_is_named`, `_spared`): never a part with at least as
-much unlinked text as is left in the article or page around it. For every node left, with C characters, T tags, and LC, LT of them in links:
+forms, menus, page headers and footers and sidebars are taken out (`_is_boilerplate`), and so are parts whose class, id
+or role is the name of an advert, notice, comment thread and so on (`_is_named`), unless the text of the page or article is
+wrapped in them, which their place tells and not their length (`_spared`). For every node left, with C characters, T tags, and LC, LT of them in links:
 
     density = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
 The node with the largest sum of its children's densities is the main one. The smallest density on its path from the body is the
 threshold: parts beside the path count as text if they reach it. A main node inside an article or main element stands for
 all of that element. Outside the main node, and before its text if that is no article or main, a list or block
-of three or more links and nothing else is a menu and no text. A form or menu that holds an article, a main or most of the text
-stays without its controls, and so do other parts that all text of the page is wrapped in (`_spared`).
+of three or more links and nothing else is a menu and no text. A form or menu that the text is wrapped in stays without its controls.
 
 Text: character references decoded, white space inside a block one space, blocks joined by one line feed in page order.
 
@@ -50,6 +49,9 @@ WRAPPERS = frozenset("form menu".split())
 OPEN, CLOSED = WRAPPERS | frozenset("aside dialog".split()), frozenset("canvas footer header nav object".split())
 CODE = frozenset("pre code samp kbd".split())
 WHOLE = frozenset(("article", "main"))
+NEVER_INSIDE = frozenset(("aside", "dialog", "nav"))
+PARAGRAPHS = frozenset(("p", "blockquote", "pre"))
+SENTENCE_ENDS = frozenset(".!?…。！？\"'”’»)")
 
 
 class Page:
@@ -167,34 +169,43 @@ def _headings(page):
     return {i: _TOKEN.findall("".join(t)) for i, t in found.items()}
 
 
-def _spared(page, candidates, holds, in_article, gone):
-    """The candidates to keep: those with at least the unlinked text that is left of what holds them (an article or main, a
-    candidate that was kept, or a page whose articles have no text) once all candidates are taken out of it.
+def _spared(page, candidates, in_article, gone):
+    """The candidates that wrap the text of their page or article, told by structure, whatever their length.
 
-    A form or menu is kept by this rule whatever articles there are, or if it holds one; a part that holds articles with half of
-    their text counts as if there were no other."""
+    One outside all articles stays if it holds the page's first h1 or main, or is a sibling like that one, or if nothing beside it is text: no article
+    or main that has any, and no paragraph that is a sentence. One inside an article stays if that article has no text beside it;
+    an aside, dialog or nav there never does. What stands in other candidates is no text beside one.
+    """
     n, parent, tag = len(page.tag), page.parent, page.tag
-    own, linked, holder = [0] * n, [False] * n, [0] * n
+    kept = set()
+    for name in ("h1", "main"):
+        i = next((i for i in range(1, n) if tag[i] == name and not gone[i]), 0)
+        while i:
+            if i in candidates and not in_article[i]:
+                kept.add(i)
+            i = parent[i]
+    alike = {(parent[i], tag[i], page.attributes[i]) for i in kept}
+    kept |= {i for i in candidates if page.attributes[i] and (parent[i], tag[i], page.attributes[i]) in alike}
+    scope, whole, block, linked = [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
         p = parent[i]
+        scope[i] = i if i in candidates and i not in kept else scope[p]
+        whole[i] = i if tag[i] in WHOLE and i not in candidates else whole[p]
+        block[i] = i if tag[i] in PARAGRAPHS else block[p]
         linked[i] = linked[p] or tag[i] == "a"
-        holder[i] = p if p in candidates or tag[p] in WHOLE else holder[p]
-    free = [0] * n  # of own, what is in an article or main
+    articles, paragraphs = set(), {}
     for node, _, t in page.pieces:
-        if not gone[node] and not linked[node]:
-            size = len("".join(t.split()))
-            own[node] += size
-            free[node] += size if in_article[node] or tag[node] in WHOLE else 0
-    for i in range(n - 1, 0, -1):
-        own[parent[i]] += own[i]
-        free[parent[i]] += free[i]
-    left = own[:]
-    for i in candidates:
-        left[holder[i]] -= own[i]
-    kept = set()
-    for i in candidates:
-        bulk = own[i] and own[i] >= left[holder[i]]
-        if tag[i] in WRAPPERS and (holds[i] or bulk) or bulk and (holder[i] or 2 * free[i] >= free[0]):
+        if not gone[node] and not linked[node] and not t.isspace():
+            articles.add((scope[node], whole[node]))
+            if block[node]:
+                paragraphs[block[node]] = paragraphs.get(block[node], "") + t
+    beside = {s for s, w in articles if w} | {scope[i] for i, t in paragraphs.items() if unescape(t).rstrip()[-1:] in SENTENCE_ENDS}
+    for i in candidates - kept:
+        around = scope[parent[i]]
+        if in_article[i]:
+            if tag[i] not in NEVER_INSIDE and (around, whole[parent[i]]) not in articles:
+                kept.add(i)
+        elif around not in beside:
             kept.add(i)
     return kept
 
@@ -224,11 +235,11 @@ def main_text(html: str | None) -> str:
         gone[i] = gone[parent[i]] or dropped and not wraps or _is_hidden(tag[i], page.attributes[i])
         linked[i] = linked[parent[i]] or tag[i] == "a"
         code[i] = code[parent[i]] or tag[i] in CODE
-        named = page.attributes[i] and not (gone[i] or code[i] or holds[i] or tag[i] in HEADINGS or tag[i] in WHOLE or tag[i] in ("html", "body"))
+        named = page.attributes[i] and not (gone[i] or code[i] or tag[i] in HEADINGS or tag[i] in WHOLE and not in_article[i] or tag[i] in ("html", "body", "main"))
         if not gone[i] and (wraps or named and _is_named(page.attributes[i], in_article[i], lambda i=i: heading(i))):
             candidates.add(i)
     if candidates:
-        candidates -= _spared(page, candidates, holds, in_article, gone)
+        candidates -= _spared(page, candidates, in_article, gone)
         for i in range(1, n):
             gone[i] = gone[i] or gone[parent[i]] or i in candidates
     pieces = [(node, segment, unescape(t) if "&" in t else t) for node, segment, t in page.pieces if not gone[node]]
