@@ -344,13 +344,22 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each class, once, columns as they were; rows without doc_id stay."""
-    heads = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    rows = docs.filter("doc_id is not null").join(heads, "doc_id", "leftsemi")
-    # Rows that repeat an id become the one that sorts last.
-    rows = rows.groupBy("doc_id").agg(F.max(F.struct(*others)).alias("_row")).select("doc_id", "_row.*")
-    return rows.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The row with the smallest doc_id of each class of rows, columns as they were; rows without doc_id stay.
+
+    Rows that repeat a doc_id with other texts are told apart: each belongs to the class of its own text.
+    """
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        heads = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id")
+        return docs.join(heads, "doc_id", "leftsemi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = frames.stored(known.withColumn(row, F.monotonically_increasing_id()), "rows")
+    classes = jaccard_classes(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    heads = numbered.select(row, "doc_id").join(classes, row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("least"))
+    kept = numbered.join(heads.select(F.col(f"least.{row}").alias(row)), row, "leftsemi")
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def _union(frames_):

@@ -287,6 +287,30 @@ def test_html_wrapped(tag):
     assert html_text.main_text(f"<body>{small}<div>{BODY}</div>{small}</body>") == BODY_TEXT
 
 
+LONG = "<p>" + "A very long reader comment that goes on and on. " * 30 + "</p>"
+NOISY = [f"<div class='comments'>{LONG}</div>", f"<aside>{LONG}</aside>", f"<form>{LONG}</form>", f"<dialog open>{LONG}</dialog>", f"<div class='cookie-notice'>{LONG}</div>",
+         f"<section class='comments'><article>{LONG}</article><article>{LONG}</article></section>"]
+
+
+@pytest.mark.parametrize("noise", NOISY)
+def test_html_long_noise(noise):
+    """Reader comments, notices, asides and forms longer than the text go, with and without an article."""
+    text = "<h1>Title here</h1><p>First part of the text.</p><p>Second part ends.</p>"
+    want = "Title here\nFirst part of the text.\nSecond part ends."
+    for page in (f"<article>{text}{noise}</article>", f"<article>{text}</article>{noise}", f"<main>{noise}{text}</main>", f"<div>{text}</div>{noise}", f"{noise}<div>{text}</div>",
+                 f"<div class='ad-wrapper'><article>{text}</article></div>{noise}", f"<form id='all'>{text}{noise}</form>"):
+        assert html_text.main_text(f"<body>{page}<footer><p>Copyright held.</p></footer></body>") == want, page[:60]
+
+
+def test_html_comment_articles():
+    assert html_text.main_text(f"<article><p>Short one.</p></article><section id='comments'><article>{LONG}</article></section>") == "Short one."
+    assert html_text.main_text(f"<div><p>Short one.</p></div><section id='comments'><article>{LONG}</article></section>") == "Short one."
+    assert html_text.main_text(f"<article><p>Short one.</p><article class='comment'>{LONG}</article></article>") == "Short one."
+    # A wrapper with an unlucky name stays where the title, or all the text, is in it.
+    assert html_text.main_text(f"<div class='ad-wrapper'>{BODY}</div><div><p>Copyright held.</p></div>").startswith(BODY_TEXT)
+    assert html_text.main_text(f"<div class='comments'>{BODY}</div>") == BODY_TEXT
+
+
 def test_html_math_and_links():
     links = "".join(f'<li><a href="{i}"><b>Work</b> <i>{i}</i></a></li>' for i in range(4))
     shown = "\n".join(f"Work {i}" for i in range(4))
@@ -363,3 +387,14 @@ def test_chat(spark, monkeypatch, run, group):
     assert [(r["role"], r["text"]) for r in got if r["conv_id"] == 2] == [("user", "\nx")]
     assert [(r["turn"], r["text"]) for r in got if r["conv_id"] is None] == [(k, str(k)) for k in range(9)]
     assert got[-1]["rendered"] == f"<|{got[-1]['role']}|>\n{got[-1]['text']}\n<|end|>"
+
+
+def test_representatives_lose_no_text(spark):
+    """Rows that share an id keep every text that no other row stands for; other columns, maps too, stay as they are."""
+    x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "other words that stand for nothing else at all")
+    rows = [(1, x, {"a": 1}), (1, y, {"b": 2}), (2, y, None), (3, z, None), (3, z, None), (4, None, None), (None, y, None), (None, y, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row map<string,int>")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", str(r["row"])) for r in jaccard_join.representatives(docs).collect())
+    assert got == sorted([(1, x, "{'a': 1}"), (1, y, "{'b': 2}"), (3, z, "None"), (4, "", "None"), (0, y, "None"), (0, y, "None")])
+    alone = jaccard_join.representatives(docs.filter("doc_id <> 1 and doc_id <> 3 or text = '" + x + "'")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in alone) == [(1, x), (2, y), (4, "")]
