@@ -196,6 +196,17 @@ def notes_about(spark, sf_dir):
     return co.notes_about(_notes(spark, sf_dir), "u3").select("id", "coach_user_id")
 
 
+@query("mentioned_matches", """WITH x AS (SELECT conv_id, turn, unnest(list_distinct(list_transform(regexp_extract_all(
+  text || ' match ' || conv_id || ' and game #' || (turn + 2) || ' or 7', '(?i)(?:match|game|g)\\s*#?\\s*(\\d+)', 1), lambda x: x::BIGINT))) AS match FROM conversations)
+SELECT x.conv_id, x.turn, x.match FROM x JOIN (SELECT DISTINCT conv_id, turn AS match FROM conversations) k ON k.conv_id = x.conv_id AND k.match = x.match""")
+def mentioned_matches(spark, sf_dir):
+    """A conversation's turns stand for its owner's matches: messages keep the numbers that are among them."""
+    rows = read(spark, sf_dir, "conversations")
+    said = F.concat("text", F.lit(" match "), "conv_id", F.lit(" and game #"), F.col("turn") + 2, F.lit(" or 7"))
+    messages = rows.select("conv_id", "turn", said.alias("text"))
+    return co.mentioned_matches(messages, rows.select("conv_id", F.col("turn").alias("match")), ["conv_id"]).select("conv_id", "turn", F.col("match"))
+
+
 @query("student_profiles", f"""WITH {PM}, {SESSIONS}, {_ST}, k AS (SELECT pm.* FROM pm JOIN jobs ON jobs.job_id = pm.j),
 rec AS (SELECT u, count(*) FILTER (WHERE winner <> 'unknown') matches, count(*) FILTER (WHERE won) wins, count(*) FILTER (WHERE winner = 'opponent') losses
   FROM k WHERE winner <> 'unknown' OR len(p_brought) > 0 GROUP BY u), sn AS (SELECT user_id, count(*) n FROM ses GROUP BY 1)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringside.functions import columns as c
 from ringside.operators import record as r
 
 
@@ -37,6 +38,15 @@ def notes_about(notes: DataFrame, player) -> DataFrame:
     return notes.where(F.col("player_user_id") == player).orderBy(F.col("created_at").desc(), "id")
 
 
+def mentioned_matches(messages: DataFrame, known: DataFrame, keys, text="text") -> DataFrame:
+    """(columns of messages but the text, match): the matches that a message names and its owner has.
+
+    `known` has the keys and match; a number that stands for no match there goes.
+    """
+    named = messages.withColumn("match", F.explode(c.referenced_matches(text))).drop(text)
+    return named.join(known.select(*keys, F.col("match").cast("bigint").alias("match")).distinct(), [*keys, "match"], "left_semi")
+
+
 def student_profiles(students: DataFrame, matches: DataFrame, session_rows: DataFrame) -> DataFrame:
     """Aggregates of every student of every coach; raw events never leave the player's tables."""
     by = ["user_id"]

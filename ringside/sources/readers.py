@@ -40,13 +40,16 @@ def normalize_ai_payload(texts: DataFrame, keys, text="text") -> DataFrame:
 def read_events_json(spark: SparkSession, path) -> DataFrame:
     """Bronze rows (job_id, pos, value) of event files: one JSON text, or one event per line as the writer leaves them.
 
-    The job is the folder; `pos` is the row's own event_idx where it has one, else its place in the file.
+    The job is the folder. `pos` is the row's own event_idx if every event of its file has one and no two share it, else the
+    place in the file: the two number lines never mix.
     """
     files = spark.read.text(path, wholetext=True).select(_job_of(F.col("_metadata.file_path")).alias("job_id"), F.col("value").alias("text"))
     lines = F.filter(F.transform(F.split("text", "\\R"), lambda x: F.try_parse_json(x)), lambda x: x.isNotNull())
-    events = F.coalesce(_array_rows(F.try_parse_json("text")), lines)
-    rows = files.select("job_id", F.posexplode(events).alias("pos", "value"))
-    return rows.select("job_id", F.coalesce(F.try_variant_get("value", "$.event_idx", "int"), "pos").alias("pos"), "value")
+    rows = files.select("job_id", F.coalesce(_array_rows(F.try_parse_json("text")), lines).alias("_events"))
+    own = F.transform("_events", lambda x: F.try_variant_get(x, "$.event_idx", "int"))
+    numbered = F.forall(own, lambda x: x.isNotNull()) & (F.size(F.array_distinct(own)) == F.size("_events"))
+    rows = rows.select("job_id", numbered.alias("_own"), F.posexplode("_events").alias("pos", "value"))
+    return rows.select("job_id", F.when(F.col("_own"), F.try_variant_get("value", "$.event_idx", "int")).otherwise(F.col("pos")).alias("pos"), "value")
 
 
 def silver_events(bronze: DataFrame, user=None) -> DataFrame:

@@ -30,6 +30,18 @@ def test_events_json(spark, tmp_path):
     assert [r["match"] for r in rows] == [1, 1, 1, 1]
 
 
+def test_places_of_a_file_never_mix(spark, tmp_path):
+    """All events with an index of their own keep it; one without, or two alike, and the whole file counts by place."""
+    files = {"all": [2, 0, 1], "one_less": [1, None, 0], "twice": [1, 1, 0]}
+    for job, numbers in files.items():
+        (tmp_path / job).mkdir()
+        rows = [{"event": f"e{k}"} | ({} if n is None else {"event_idx": n}) for k, n in enumerate(numbers)]
+        (tmp_path / job / "events.json").write_text(json.dumps(rows))
+    got = readers.silver_events(readers.read_events_json(spark, str(tmp_path / "*" / "events.json"))).orderBy("event_idx").collect()
+    order = {job: [r["event"] for r in got if r["job_id"] == job] for job in files}
+    assert order == {"all": ["e1", "e2", "e0"], "one_less": ["e0", "e1", "e2"], "twice": ["e0", "e1", "e2"]}
+
+
 def test_small_readers(spark, tmp_path):
     job = tmp_path / "job7"
     job.mkdir()
