@@ -150,11 +150,19 @@ def known_moves(ev):
 
 @on_matches("decision_windows", "WITH RECURSIVE " + BOARD + f""",
 al AS (SELECT job_id, match, tn, side, list(pokemon ORDER BY slot) a FROM av GROUP BY ALL),
-ch AS (SELECT job_id, match, tn, side, count(*) FILTER (WHERE ty = 'move') moves, count(*) FILTER (WHERE ty = 'switch') switches FROM act GROUP BY ALL)
+ch AS (SELECT job_id, match, tn, side, count(*) FILTER (WHERE ty = 'move') moves, count(*) FILTER (WHERE ty = 'switch') switches,
+  string_agg(ty || ':' || pokemon || ':' || coalesce(mv, ''), ', ' ORDER BY event_idx) did FROM act WHERE ty <> 'fainted' GROUP BY ALL),
+ks AS (SELECT job_id, match, tn, side, pokemon, string_agg(mv, '/' ORDER BY seq) ms FROM km GROUP BY ALL),
+bp AS (SELECT job_id, match, tn, side, unnest(board) p, generate_subscripts(board, 1) place FROM bd),
+kb AS (SELECT bp.job_id, bp.match, bp.tn, bp.side, string_agg(p || ': ' || coalesce(ms, ''), '; ' ORDER BY place) known
+  FROM bp LEFT JOIN ks ON ks.job_id = bp.job_id AND ks.match = bp.match AND ks.tn = bp.tn AND ks.side = bp.side AND ks.pokemon = bp.p GROUP BY ALL)
 SELECT {K}, tn AS turn, side, array_to_string(board, ', ') AS board, coalesce(array_to_string(a, ', '), '') AS available,
   coalesce(array_to_string(list_filter(a, lambda x: NOT list_contains(board, x)), ', '), '') AS switch_options,
-  coalesce(moves, 0) AS moves, coalesce(switches, 0) AS switches
-FROM bd LEFT JOIN al USING (job_id, match, tn, side) LEFT JOIN ch USING (job_id, match, tn, side)""")
+  coalesce(moves, 0) AS moves, coalesce(switches, 0) AS switches, coalesce(did, '') AS chosen_actions, coalesce(known, '') AS known_moves
+FROM bd LEFT JOIN al USING (job_id, match, tn, side) LEFT JOIN ch USING (job_id, match, tn, side) LEFT JOIN kb USING (job_id, match, tn, side)""")
 def decision_windows(ev):
     rows = t.decision_windows(t.turns_of(ev))
+    did = F.transform("chosen_actions", lambda x: F.concat(x["type"], F.lit(":"), x["pokemon"], F.lit(":"), F.coalesce(x["move"], F.lit(""))))
+    known = F.transform("known_moves", lambda x: F.concat(x["pokemon"], F.lit(": "), F.array_join(x["moves"], "/")))
+    rows = rows.withColumns({"chosen_actions": F.array_join(did, ", "), "known_moves": F.array_join(known, "; ")})
     return rows.withColumns({x: F.array_join(x, ", ") for x in ("board", "available", "switch_options")})

@@ -186,20 +186,30 @@ def known_moves(t: Turns, boards: DataFrame = None) -> DataFrame:
 
 
 def decision_windows(t: Turns, boards: DataFrame = None) -> DataFrame:
-    """One row per match, turn and side: board, available, switch options and how often it acted."""
+    """One row per match, turn and side: board, available, switch options, moves known of the board, and what it then chose."""
     boards = board(t) if boards is None else boards
     slot = F.struct("slot", "pokemon")
     # The group is one roster of one side.
     alive = available(t).groupBy(*KEY, "turn", "side").agg(F.sort_array(F.collect_list(slot)).alias("_a"))
     chosen = turn_actions(t).where("type <> 'fainted'").groupBy(*KEY, "turn", "side").agg(
-        F.count_if(F.col("type") == "move").alias("moves"), F.count_if(F.col("type") == "switch").alias("switches"))
-    rows = boards.join(alive, [*KEY, "turn", "side"], "left").join(chosen, [*KEY, "turn", "side"], "left")
+        F.count_if(F.col("type") == "move").alias("moves"), F.count_if(F.col("type") == "switch").alias("switches"),
+        # What one side does in one turn.
+        F.sort_array(F.collect_list(F.struct("seq", "type", "pokemon", "move_name"))).alias("_did"))
+    reveal = F.sort_array(F.collect_list(F.struct("seq", "move_name")))
+    shown = known_moves(t, boards).groupBy(*KEY, "turn", "side", "pokemon").agg(F.transform(reveal, lambda x: x["move_name"]).alias("_moves"))
+    known = shown.groupBy(*KEY, "turn", "side").agg(F.map_from_entries(F.collect_list(F.struct("pokemon", "_moves"))).alias("_known"))
+    rows = boards
+    for part in (alive, chosen, known):
+        rows = rows.join(part, [*KEY, "turn", "side"], "left")
     names = F.coalesce(F.transform("_a", lambda x: x["pokemon"]), F.array().cast("array<string>"))
     rows = rows.withColumn("available", names)
     return rows.select(
         *KEY, "turn", "side", "board", "available",
         F.filter("available", lambda x: ~F.array_contains("board", x)).alias("switch_options"),
-        F.coalesce("moves", F.lit(0)).alias("moves"), F.coalesce("switches", F.lit(0)).alias("switches"))
+        F.coalesce("moves", F.lit(0)).alias("moves"), F.coalesce("switches", F.lit(0)).alias("switches"),
+        F.transform("board", lambda p: F.struct(p.alias("pokemon"), F.coalesce(F.try_element_at("_known", p), F.array().cast("array<string>")).alias("moves"))).alias("known_moves"),
+        F.coalesce(F.transform("_did", lambda x: F.struct(x["type"].alias("type"), x["pokemon"].alias("pokemon"), x["move_name"].alias("move"))),
+                   F.array().cast("array<struct<type:string,pokemon:string,move:string>>")).alias("chosen_actions"))
 
 
 def hp_at_start(t: Turns, slots: DataFrame = None, windows: Turns = None) -> DataFrame:
