@@ -51,8 +51,14 @@ def held_out(column="doc_id"):
     return fold(column) == 0
 
 
+#: Python workers live on between tasks: large buffers go back to the system as they are freed.
+GIVE_BACK = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "33554432", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def reach(df: DataFrame) -> None:
-    """Let Python workers find this library where the driver does, or else as it is installed there."""
+    """Let Python workers find this library where the driver does, or else as it is installed there, and give memory back."""
+    for name, value in GIVE_BACK.items():
+        df.sparkSession.sparkContext.environment.setdefault(name, value)
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
