@@ -42,6 +42,15 @@ def stored(df: DataFrame, name="step", partition_by=None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(step: DataFrame) -> None:
+    """Delete the folder of a `stored` step that nothing reads any more."""
+    spark, files = step.sparkSession, step.inputFiles()
+    if files:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if hadoop.getName().startswith("llm-"):
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fold(column="doc_id"):
     """crc32 of the id as text, mod 5; a missing id counts as the empty text (remainder 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0)) % FOLDS

@@ -12,7 +12,7 @@ lower-cased; a text of fewer words is one shingle; a text without words has an e
    posts that prefix. A pair is a candidate if it shares at least the smaller of both l, and if what it shares in
    the prefixes and the rest of either set still allow the overlap that both sizes ask for.
 4. Groups of near copies would give all pairs, so `rounds` first verify each node against one node per shingle
-   (the one that shares most, drawn anew in every round) and close the links to classes. Then pairs that are in one
+   (the one that shares most, drawn anew in every round, with the multi-match count asked for) and close the links to classes. Then pairs that are in one
    class already need no check, and the rest are taken in full: no link between classes is lost.
 
 Edge cases: null or blank text: n_shingles 0, component_id = doc_id. A row without doc_id: n_shingles as counted,
@@ -37,6 +37,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0
 #: Texts of this many nodes at most are picked out with a broadcast list of ids (8 MB); more take a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: A token whose counter stands this far above chance is dealt to `SALTS` tasks and taken as shared without counting it.
+HOT_EXCESS, SALTS = 1024, 1024
 #: Pivot rounds: at least one, more while there are more pairs left than postings and the last round linked
 #: this share of the nodes in question. What rounds cannot settle is taken in full.
 SETTLED = 0.02
@@ -77,7 +79,7 @@ def _profile_maker(width):
             n = np.zeros(len(array), np.int64)
             for row, s in shingle_sets(array, hasher, width):
                 n[row] = len(s)
-                at = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                at = _slots(s)
                 counts[at] += counts[at] < 255
             none = [None] * len(array)
             return batch.column("doc_id"), n, [digest_of(t) for t in words.texts(array)], none, none
@@ -118,13 +120,17 @@ def sketch(profile: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _slots(s):
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def least_overlap(n, num=NUM, den=DEN):
     return -(-num * n // den)
 
 
 def prefix(s, freq, floor, most=MOST_MATCHES, num=NUM, den=DEN):
     """The posted shingles of one set and its l, by least estimated cost."""
-    f = freq[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    f = freq[_slots(s)]
     order = np.lexsort((s, f))
     need = least_overlap(len(s), num, den)
     base = len(s) - need + 1
@@ -136,15 +142,18 @@ def prefix(s, freq, floor, most=MOST_MATCHES, num=NUM, den=DEN):
 
 
 def _posting_maker(freq, width, num, den):
+    excess = HOT_EXCESS
+
     def make():
         hasher, seen = words.Hasher(), set()
         counts = freq.value
         floor = counts.mean() + 3 * np.sqrt(counts.mean()) + 1
+        hot = floor + excess
 
         def step(batch):
             array, ids = batch.column("text"), batch.column("doc_id").to_pylist()
             raw = words.texts(array)
-            tokens, docs, facts = [], [], []
+            tokens, docs, facts, salts = [], [], [], []
             for row, s in shingle_sets(array, hasher, width):
                 digest = digest_of(raw[row])
                 if ids[row] is None or digest in seen:
@@ -154,8 +163,10 @@ def _posting_maker(freq, width, num, den):
                 tokens.append(posted)
                 docs.append(np.full(len(posted), ids[row], np.int64))
                 facts.append(((len(s) * 16 + level) << 32) + np.arange(len(posted), dtype=np.int64))
+                salt = int.from_bytes(digest[:8], "little") % SALTS
+                salts.append(np.where(counts[_slots(posted)] > hot, 1 + salt, 0).astype(np.int16))
             if tokens:
-                return np.concatenate(tokens).view(np.int64), np.concatenate(docs), np.concatenate(facts)
+                return np.concatenate(tokens).view(np.int64), np.concatenate(docs), np.concatenate(facts), np.concatenate(salts)
 
         return step, None
 
@@ -163,8 +174,17 @@ def _posting_maker(freq, width, num, den):
 
 
 def postings(docs: DataFrame, freq, width=WIDTH, num=NUM, den=DEN) -> DataFrame:
-    """(token, doc_id, facts: n, l and the place in the prefix, packed); copies within a task post once."""
-    return frames.emitted(docs.select("doc_id", "text"), _posting_maker(freq, width, num, den), "token long, doc_id long, facts long")
+    """(token, doc_id, facts: n, l and the place in the prefix, packed; salt, 0 but for hot tokens); copies within a task post once."""
+    return frames.emitted(docs.select("doc_id", "text"), _posting_maker(freq, width, num, den), "token long, doc_id long, facts long, salt short")
+
+
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """The postings of tokens that two rows or more post; they are made and moved once.
+
+    Tokens that the sketch does not call hot have few rows, so counting them in place gathers no large group;
+    hot ones are spread over `SALTS` keys and kept as they are.
+    """
+    return posted.withColumn("c", F.count("*").over(Window.partitionBy("token", "salt"))).filter("salt > 0 or c > 1").drop("c")
 
 
 def _brings(num, den):
@@ -256,20 +276,23 @@ def _pairs_left(live):
 
 
 def _star_pairs(live, round_no, num, den):
-    """Pairs of a node and the pivots of its tokens: two per node at most, those that it shares most tokens with.
+    """Pairs of a node and the pivots of its tokens that share enough: two per node at most, those that share most.
 
     A token has two pivots: the least of a hash drawn for the round, and in the first round the node that has fewest
     rarer shingles before the token (the least edited copy of a group), later the least of another hash.
+    k counts the tokens whose pivot the node is, which is at most what the pair shares: the first round asks for the multi-match
+    count alone, later ones for all that a link needs. What they leave is taken by `_all_pairs`.
     """
-    as_pivot = [F.col(c).alias(f"p{c}" if c != "node" else "p") for c in ("node", "n", "comp", "rest")]
+    as_pivot = [F.col(c).alias(f"p{c}" if c != "node" else "p") for c in ("node", "n", "l", "comp", "rest")]
     rank = [F.xxhash64("node", F.lit(2 * round_no + k)) for k in range(2)]
     if round_no == 0:
         rank[1] = F.struct(F.col("n") - F.col("rest"), "node")
     pivots = live.groupBy("token").agg(*[F.min(F.struct(h.alias("h"), *as_pivot)).alias(f"pivot{k}") for k, h in enumerate(rank)])
-    pivots = pivots.select("token", *[F.struct(*[f"pivot{k}.{c}" for c in ("p", "pn", "pcomp", "prest")]).alias(f"pivot{k}") for k in range(2)])
-    met = live.join(pivots, "token").select("node", "n", "comp", "rest", F.explode(F.array_distinct(F.array("pivot0", "pivot1"))).alias("pivot"))
-    met = met.select("node", "n", "comp", "rest", "pivot.*").filter((F.col("comp") != F.col("pcomp")) & _brings(num, den))
-    shared = met.groupBy("node", "p").agg(F.count("*").alias("k"))
+    pivots = pivots.select("token", *[F.struct(*[f"pivot{k}.{c}" for c in ("p", "pn", "pl", "pcomp", "prest")]).alias(f"pivot{k}") for k in range(2)])
+    met = live.join(pivots, "token").select("node", "n", "l", "comp", "rest", F.explode(F.array_distinct(F.array("pivot0", "pivot1"))).alias("pivot"))
+    met = met.select("node", "n", "l", "comp", "rest", "pivot.*").filter((F.col("comp") != F.col("pcomp")) & _brings(num, den))
+    shared = met.groupBy("node", "p").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n", "l", "pn", "pl")])
+    shared = shared.filter(_enough(num, den) if round_no else F.col("k") >= F.least("l", "pl"))
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "p"))).filter("r <= 2")
     return best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
@@ -309,12 +332,10 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
     links = [repeated.filter("c > 1 and a < b").select("doc_id", "a").join(members.filter("n > 0"), "doc_id").select("a", F.col("rep").alias("b"))]
     freq = spark.sparkContext.broadcast(sketch(profile))
 
-    # Postings are made twice rather than kept: they are the largest table here, and most tokens are in one document only.
-    posted = postings(docs, freq, width, num, den)
-    shared = posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     moved = members.filter("n > 0 and rep <> doc_id").select("doc_id", "rep").distinct()
-    live = posted.join(shared, "token").join(moved, "doc_id", "left")
-    live = live.groupBy("token", F.coalesce("rep", "doc_id").alias("node")).agg(F.max("facts").alias("facts"))
+    # Copies have one salt, so they meet where their token was counted.
+    live = shared_postings(postings(docs, freq, width, num, den)).join(moved, "doc_id", "left")
+    live = live.groupBy("token", "salt", F.coalesce("rep", "doc_id").alias("node")).agg(F.max("facts").alias("facts"))
     size, place = F.shiftright("facts", 36), F.col("facts").bitwiseAND(F.lit((1 << 32) - 1))
     live = live.select("token", "node", size.alias("n"), F.shiftright("facts", 32).bitwiseAND(F.lit(15)).alias("l"), F.col("node").alias("comp"), (size - place - 1).alias("rest"))
     live = frames.stored(live, "live")
@@ -330,6 +351,7 @@ def jaccard_classes(docs: DataFrame, width=WIDTH, num=NUM, den=DEN) -> DataFrame
         pairs = frames.stored(_all_pairs(live, num, den) if last else _star_pairs(live, round_no, num, den), "pairs")
         texts = frames.stored(node_texts(docs, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")), "texts")
         links.append(frames.stored(verified(pairs, texts, width, num, den), "links"))
+        frames.discard(texts)
         if last:
             classes = classes if links[-1].isEmpty() else components(_union(links))
             break

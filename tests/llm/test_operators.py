@@ -83,6 +83,12 @@ def test_jaccard_chain_and_stars(spark):
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 130)}
 
 
+def test_jaccard_with_every_token_hot(spark, docs, monkeypatch):
+    want = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "HOT_EXCESS", -1e12)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs).collect()} == want
+
+
 def test_jaccard_awkward(awkward, spark):
     got = {tuple(r) for r in jaccard_join.jaccard_classes(awkward).collect()}
     assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (None, 1, None), (6, 2, 6), (7, 1, 7)}
